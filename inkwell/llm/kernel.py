@@ -7,12 +7,13 @@ agree between executors, runs and machines.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Code points handled at once.  A single longer text is handled whole.
 CHUNK = 1 << 20
@@ -151,3 +152,13 @@ def segments(ufunc: np.ufunc, values: np.ndarray, bounds: np.ndarray, empty) ->
 
 def list_array(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), values)
+
+
+def keep(docs: DataFrame, which: Callable[[list[str], pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` that ``which`` marks, with all columns as they are.  It gets the texts and the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(which(strings(batch.column("text")), batch), dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)

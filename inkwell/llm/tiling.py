@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
-from inkwell.sources.shared import written
 
 #: The shortest match that counts, in tokens.
 MATCH = 4
@@ -108,34 +107,37 @@ def tile(item: list[int], doc: list[int], places: list[int], match: int) -> list
     return tiles
 
 
+def found(texts: list[str], seeds: Seeds, match: int, least: float) -> Iterator[tuple]:
+    """(index of the text, item, coverage, number of tiles, longest tile) of each leak."""
+    for lo, hi in K.spans(texts):
+        t = K.Tokens(texts[lo:hi])
+        values, _, first = K.grams(t.hash, t.bounds, match, short=False)
+        at, item = seeds.hits(values)
+        if not len(at):
+            continue
+        at = first[at]
+        doc = np.searchsorted(t.bounds, at, "right") - 1
+        order = np.lexsort((at, item, doc))
+        at, item, doc = at[order], item[order], doc[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
+            i, d = int(item[a]), int(doc[a])
+            own = seeds.tokens[i]
+            if match * (b - a) < least * len(own):  # more than its seeds' tokens can't be covered
+                continue
+            start = t.bounds[d]
+            tiles = tile(own, t.hash[start : t.bounds[d + 1]].tolist(), np.unique(at[a:b] - start).tolist(), match)
+            covered = sum(x[2] for x in tiles)
+            if covered >= least * len(own):
+                yield lo + d, seeds.ids[i], round(covered / len(own), 6), len(tiles), tiles[0][2]
+
+
 def scan(batches: Iterator[pa.RecordBatch], seeds: Seeds, match: int, least: float) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "item_id", "coverage", "tiles", "longest"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     for batch in batches:
-        texts = K.strings(batch.column("text"))
-        rows: list[tuple] = []
         ids = batch.column("doc_id").to_pylist()
-        for lo, hi in K.spans(texts):
-            t = K.Tokens(texts[lo:hi])
-            values, _, first = K.grams(t.hash, t.bounds, match, short=False)
-            at, item = seeds.hits(values)
-            at = first[at]
-            doc = np.searchsorted(t.bounds, at, "right") - 1
-            order = np.lexsort((at, item, doc))
-            at, item, doc = at[order], item[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(at) else np.empty(0, dtype=np.int64)
-            for a, b in zip(new, np.append(new[1:], len(at)), strict=True):
-                i, d = int(item[a]), int(doc[a])
-                own = seeds.tokens[i]
-                # seeds of the item that are there at all bound the coverage
-                if min(len(own), match * (b - a)) < least * len(own):
-                    continue
-                start = t.bounds[d]
-                places = at[a:b] - start
-                tiles = tile(own, t.hash[start : t.bounds[d + 1]].tolist(), np.unique(places).tolist(), match)
-                covered = sum(x[2] for x in tiles)
-                if covered >= least * len(own):
-                    rows.append((ids[lo + d], seeds.ids[i], round(covered / len(own), 6), len(tiles), tiles[0][2]))
-        names = ["doc_id", "item_id", "coverage", "tiles", "longest"]
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        rows = [(ids[r[0]], *r[1:]) for r in found(K.strings(batch.column("text")), seeds, match, least)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=types[k]) for k in range(5)], names=names)
 
 
@@ -168,12 +170,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, least: floa
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], OUT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, least: float = COVERAGE, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The documents that hold no benchmark item, with the columns of ``docs``.
+def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, least: float = COVERAGE, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns, in narrow passes without a join.
 
-    A document is known by doc_id and text together, so another row with the same doc_id and a clean text stays; so does a null or empty text.
+    Each row is judged by its own text: another row with the same doc_id and a clean text stays, and so does a null or empty text.
     """
-    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("doc_id"), "text")
-    bad = written(leaks(keyed, benchmark, match, least).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
-    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]) == F.col("__bad"), "left_anti")
+    for items in slices(benchmark, slice_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(Seeds(items, match))
+
+        def which(texts: list[str], _: pa.RecordBatch, sent=sent) -> np.ndarray:
+            marked = np.ones(len(texts), dtype=bool)
+            marked[[r[0] for r in found(texts, sent.value, match, least)]] = False
+            return marked
+
+        docs = K.keep(docs, which)
+    return docs
