@@ -24,11 +24,11 @@ ORDER = 4
 #: Bound of the labelled sample: documents a language, and characters that such a document has at least.
 DOCS_PER_LANGUAGE, MIN_CHARS = 250, 200
 #: A document whose best code takes more bits a byte than this is in none of the languages.
-MAX_BITS = 4.5
+MAX_BITS = 5.5
 #: A declared language is overruled, and the document rejected, if another one's code is shorter by this many bits a byte.
-MARGIN = 0.25
+MARGIN = 1.0
 #: Documents of fewer bytes are too short to reject.
-MIN_BYTES = 40
+MIN_BYTES = 200
 
 OUT = "doc_id bigint, declared string, language string, bits_per_byte double, margin double, rejected boolean"
 

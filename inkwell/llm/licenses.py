@@ -60,7 +60,7 @@ class Templates:
             if size:
                 by_class.setdefault(max(SMALLEST, 1 << (size - 1).bit_length()), []).append(i)
         for length, own in by_class.items():
-            keys = np.array([K.mix((self.sets[i] * s).min() ^ s) for i in own for s in self.seeds], dtype=np.uint64)
+            keys = K.mix(np.array([[(self.sets[i] * s).min() ^ s for s in self.seeds] for i in own], dtype=np.uint64).ravel())
             which = np.repeat(own, bands)
             order = np.lexsort((which, keys))
             self.classes[length] = keys[order], which[order]

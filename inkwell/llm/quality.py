@@ -20,7 +20,7 @@ COMMON = 50
 #: Documents with fewer characters or words are not judged.
 MIN_CHARS, MIN_WORDS = 200, 40
 #: The largest distances (0 to 1) that pass.
-MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.25, 0.6
+MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.23, 0.45
 
 #: Character classes as regular-expression sets, in order; what is in none of them is the last class.
 CLASSES = {
