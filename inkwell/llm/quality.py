@@ -91,10 +91,10 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rows(chars: dict, words: dict) -> Iterator[pa.RecordBatch]:
     for lang, counts in chars.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * KINDS, type=pa.string()), pa.array(["char"] * KINDS), pa.array([str(k) for k in range(KINDS)]), pa.array(counts.astype(np.int64))], names=["lang", "kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * KINDS, type=pa.string()), pa.array(["char"] * KINDS, type=pa.string()), pa.array([str(k) for k in range(KINDS)], type=pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "kind", "key", "n"])
     for lang, own in words.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(own), type=pa.string()), pa.array(["word"] * len(own)), pa.array([e[0] for e in own.values()], type=pa.string()), pa.array([e[1] for e in own.values()], type=pa.int64())], names=["lang", "kind", "key", "n"]
+            [pa.array([lang] * len(own), type=pa.string()), pa.array(["word"] * len(own), type=pa.string()), pa.array([e[0] for e in own.values()], type=pa.string()), pa.array([e[1] for e in own.values()], type=pa.int64())], names=["lang", "kind", "key", "n"]
         )
 
 

@@ -62,7 +62,7 @@ def negating(reach: int = 3) -> tuple[int, Step]:
     return 0, step
 
 
-def targeting(reach: int = 3) -> tuple[int, Step]:
+def targeting(reach: int = 5) -> tuple[int, Step]:
     """An insult up to ``reach`` symbols after a target is marked t; a target so close after an insult becomes a hit that makes good the difference.
 
     States: 0 nothing near; 1..reach: symbols left in which a target counts; beyond: the same for an insult, with its mark for weak ones.
