@@ -286,6 +286,16 @@ class Index:
         row = self._segment(name, "docs", DOCS).where(F.col("doc_num") == doc_num).select("stored").first()
         return json.loads(row[0]) if row else None
 
+    def doc_num(self, name: str, doc_id: str) -> int | None:
+        """A document's number within a segment."""
+        row = self._segment(name, "docs", DOCS).where(F.col("doc_id") == doc_id).select("doc_num").first()
+        return row[0] if row else None
+
+    def doc_id(self, name: str, doc_num: int) -> str | None:
+        """The id of a number within a segment."""
+        row = self._segment(name, "docs", DOCS).where(F.col("doc_num") == doc_num).select("doc_id").first()
+        return row[0] if row else None
+
     def dump_postings(self, field_name: str, term: str) -> DataFrame:
         """(segment_id, doc_num, doc_id, tf, positions) as persisted: with deleted documents, without those that wait."""
         postings = self._union([self._segment(s, "postings", POSTINGS) for s in self.manifest.segments], POSTINGS)

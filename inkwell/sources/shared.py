@@ -30,6 +30,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder until nothing refers to it any more: for narrow tables that are read more than once."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here."""
     path = scratch(df.sparkSession, name)

@@ -58,6 +58,8 @@ def test_life_of_an_index(spark, engine, tmp_path):
     assert number["tf"] == 4 and list(number["positions"]) == [0, 1, 4, 5]
     assert again.load_doc(first, number["doc_num"])["year"] == 1200
 
+    assert again.doc_id(first, number["doc_num"]) == "a4" and again.doc_num(first, "a4") == number["doc_num"] and again.doc_num(first, "zz") is None
+
     again.merge_all()
     assert again.num_segments() == 1
     brute = Brute(changed)
