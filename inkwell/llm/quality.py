@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
+from inkwell.sources.shared import checkpointed
 
 COMMON = 50
 #: Documents with fewer characters or words are not judged.
@@ -117,7 +118,7 @@ class References:
 
 def learn(docs: DataFrame, common: int = COMMON) -> References:
     """References from all documents.  What comes to the driver is KINDS + ``common`` numbers for each language."""
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tally, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).checkpoint()
+    counted = checkpointed(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tally, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key"))
     chars: dict = {}
     words: dict = {}

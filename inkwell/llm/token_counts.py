@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import bpe
 from inkwell.llm import kernel as K
-from inkwell.sources.shared import exists
+from inkwell.sources.shared import checkpointed, exists
 
 #: Rows up to which the rows that need no encoding are broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 CACHE = "version string, digest binary, n_tokens bigint"
 
@@ -54,14 +54,14 @@ def count(docs: DataFrame, cache: str, path: str = bpe.VOCABULARY, pattern: str
     content = bpe.vocabulary(docs, path)
     own_version = version(content, pattern)
     digest = F.unhex(F.sha2(normal(), 256))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest")).checkpoint()
+    keyed = checkpointed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest")))
     stored = spark.read.schema(CACHE).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], CACHE)
     # two jobs may have appended the same key: one row each is read.  checkpoint: what was there before this call
-    before = stored.where(F.col("version") == own_version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")).checkpoint()
+    before = checkpointed(stored.where(F.col("version") == own_version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")))
     missing = keyed.join(before, "digest", "left_anti")
     ranked = missing.groupBy("digest", "doc_id").count().withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_first())))
     # rows that aren't encoded: hits, and all but the first of each content
-    spare = ranked.where("k > 1").select("digest", "doc_id").unionByName(keyed.join(before, "digest", "left_semi").select("digest", "doc_id").distinct()).checkpoint()
+    spare = checkpointed(ranked.where("k > 1").select("digest", "doc_id").unionByName(keyed.join(before, "digest", "left_semi").select("digest", "doc_id").distinct()))
     few = spare.count() <= broadcast_rows
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     s = (F.broadcast(spare) if few else spare).withColumnsRenamed({"digest": "d", "doc_id": "i"})
@@ -74,7 +74,7 @@ def count(docs: DataFrame, cache: str, path: str = bpe.VOCABULARY, pattern: str
             n = np.fromiter((len(own.encode_ordinary(t)) for t in K.strings(batch.column("text"))), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n)], names=["digest", "n_tokens"])
 
-    fresh = todo.mapInArrow(run, "digest binary, n_tokens bigint").dropDuplicates(["digest"]).checkpoint()
+    fresh = checkpointed(todo.mapInArrow(run, "digest binary, n_tokens bigint").dropDuplicates(["digest"]))
     fresh.select(F.lit(own_version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     all_counts = before.withColumn("hit", F.lit(True)).unionByName(fresh.withColumn("hit", F.lit(False)))
     return keyed.join(all_counts, "digest").select("doc_id", F.lower(F.hex("digest")).alias("digest"), "n_tokens", "hit")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
+from inkwell.sources.shared import checkpointed
 
 #: Documents from this score on are rejected.
 THRESHOLD = 1.0
@@ -246,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     once = sample.mapInArrow(families, "text string, toxic int, k0 bigint, k1 bigint, k2 bigint")
     for k in ("k0", "k1", "k2"):
         once = once.dropDuplicates(["toxic", k])
-    once = once.select("text", "toxic").checkpoint()
+    once = checkpointed(once.select("text", "toxic"))
     sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:

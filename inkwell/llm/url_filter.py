@@ -10,6 +10,7 @@ An entry is a host ("example.com": the host and all hosts below it) or a host wi
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,8 +34,12 @@ BLOCKED = tuple(f"{n}.{d}" for n in NAMES for d in DOMAINS)
 OUT = "page_id bigint, url string, host string, blocked boolean, entry string"
 
 
+#: The seed of Spark's own xxhash64, so that keys made on either side agree.
+SEED = 42
+
+
 def digests(values: Iterable[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) for v in values), dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), SEED) for v in values), dtype=np.uint64)
 
 
 def normal(url: str) -> tuple[str, str]:
@@ -59,17 +64,15 @@ def candidates(host: str, path: str) -> list[str]:
     return out
 
 
-def write(entries: Iterable[str], folder: str, name: str) -> list[str]:
-    """Writes the three files of a block list: keys, where each string starts, the strings."""
-    strings = sorted({e for e in entries if e})
-    keys = digests(strings)
-    order = np.argsort(keys, kind="stable")
-    encoded = [strings[i].encode("utf-8", "surrogatepass") for i in order]
+def write(ordered: Iterable[tuple[int, str]], folder: str, name: str) -> list[str]:
+    """Writes the three files of a block list: keys, where each string starts, the strings.  (key, entry) come in the order of unsigned keys, and are streamed."""
     files = [os.path.join(folder, f"{name}.{x}") for x in ("keys", "starts", "text")]
-    keys[order].tofile(files[0])
-    np.concatenate([[0], np.cumsum([len(e) for e in encoded], dtype=np.int64)]).astype(np.int64).tofile(files[1])
-    with open(files[2], "wb") as f:
-        f.writelines(encoded)
+    with open(files[0], "wb") as keys, open(files[1], "wb") as starts, open(files[2], "wb") as text:
+        starts.write(struct.pack("<q", 0))
+        for key, entry in ordered:
+            keys.write(struct.pack("<Q", key & 0xFFFFFFFFFFFFFFFF))
+            text.write(entry.encode("utf-8", "surrogatepass"))
+            starts.write(struct.pack("<q", text.tell()))
     return files
 
 
@@ -99,10 +102,10 @@ class Digests:
         return out
 
 
-def publish(spark: SparkSession, entries: Iterable[str]) -> list[str]:
+def publish(spark: SparkSession, entries: Iterable[str] | DataFrame) -> list[str]:
     """Puts the files into the shared folder, and has every executor, later ones too, fetch its copy; their names.
 
-    The driver writes them once, in a folder of its own, and moves them by way of Spark's file system, whatever the folder's scheme.
+    ``entries``: strings, or a DataFrame with a column ``entry``.  Spark digests and sorts them; the driver takes them a partition at a time, writes the files once, in a folder of its own, and moves them by way of Spark's file system, whatever the folder's scheme.
     """
     where = scratch(spark, "urls")
     name = where.rsplit("/", 1)[1]
@@ -110,8 +113,11 @@ def publish(spark: SparkSession, entries: Iterable[str]) -> list[str]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs.mkdirs(path(where))
     names = []
+    listed = entries if isinstance(entries, DataFrame) else spark.createDataFrame([(e,) for e in entries], "entry string")
+    keyed = listed.select("entry").where("entry <> ''").distinct().withColumn("key", F.xxhash64("entry")).orderBy(F.col("key") < 0, "key", "entry")
+    ordered = ((r["key"], r["entry"]) for r in keyed.toLocalIterator())
     with tempfile.TemporaryDirectory() as own:
-        for file in write(entries, own, name):
+        for file in write(ordered, own, name):
             fs.copyFromLocalFile(path("file://" + file), path(where))
             names.append(os.path.basename(file))
             spark.sparkContext.addFile(f"{where}/{names[-1]}")
@@ -136,7 +142,7 @@ def match(urls: list[str | None], own: Digests) -> tuple[list[str], list[str | N
     return [p[0] for p in parsed], entry
 
 
-def filter_urls(pages: DataFrame, entries: Iterable[str] = BLOCKED) -> DataFrame:
+def filter_urls(pages: DataFrame, entries: Iterable[str] | DataFrame = BLOCKED) -> DataFrame:
     """(page_id, url, host, blocked, entry) of every page; ``entry`` is the most general entry that blocks it, null if none.
 
     A null, empty or malformed URL has an empty host and isn't blocked.  With no entries nothing is blocked.  Repeated rows stay repeated; further columns are ignored.

@@ -430,10 +430,12 @@ def test_urls(spark, tmp_path):
     rows = {r["page_id"]: r for r in url_filter.filter_urls(pages, entries).collect()}
     assert [rows[i]["entry"] for i in range(len(urls))] == expected and all(r["blocked"] == (r["entry"] is not None) for r in rows.values())
     assert not any(r["blocked"] for r in url_filter.filter_urls(pages, []).collect())
+    listed = spark.createDataFrame([(f"host{k}.example",) for k in range(500)] + [("bad.example",), (None,)], "entry string")
+    assert [r["entry"] for r in url_filter.filter_urls(pages, listed).orderBy("page_id").collect()][:3] == ["bad.example", "bad.example", None]
 
 
 def test_equal_digests_are_told_apart(tmp_path):
-    own = url_filter.Digests(*url_filter.write(["a", "b", "c"], str(tmp_path), "x"))
+    own = url_filter.Digests(*url_filter.write(sorted((int(url_filter.digests([e])[0]), e) for e in "abc"), str(tmp_path), "x"))
     assert own.holds(["a", "b", "d"]).tolist() == [True, True, False]
     assert own.holds(["d", "a"], url_filter.digests(["a", "a"])).tolist() == [False, True]  # a digest alone is no hit
     same = url_filter.Digests.__new__(url_filter.Digests)
