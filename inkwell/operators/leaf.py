@@ -11,6 +11,8 @@ from inkwell.plans.ast import Fuzzy, Phrase, Prefix, Regex, Term
 from inkwell.sources.index import Snapshot
 
 ID = "_id"
+#: Terms that an expansion may put into a filter.
+FEW_TERMS = 1000
 
 
 def in_field(postings: DataFrame, field: str) -> DataFrame:
@@ -76,22 +78,22 @@ def phrase_tokens(snapshot: Snapshot, text: str) -> list[str]:
 def expansion(snapshot: Snapshot, field: str, matches: Column) -> DataFrame:
     """Documents with a term of which ``matches`` holds.
 
-    The condition runs over the distinct terms; they are joined back to the postings.  If there is one such term, tf and length count as for a term query; with
-    several, tf is 1 and the length counts only within a given field.  How many there are is worked out within the plan.
+    The condition runs over the dictionary, not the postings.  Up to FEW_TERMS matching terms become a pushed-down filter that prunes row groups of the sorted
+    postings; more are joined.  If one of them is in live documents, tf and length count as for a term query; with several, tf is 1 and the length counts only
+    within a given field.  How many there are is worked out within the plan.
     """
     if field == ID:
         return by_id(snapshot, F.expr("true")).withColumn("term", F.col("doc_id")).where(matches).drop("term")
     own = in_field(snapshot.postings, field)
-    terms = own.select("term").distinct().where(matches)
-    one = terms.agg((F.count("*") == 1).alias("one"))
-    hits = own.join(terms, "term", "left_semi")
+    terms = in_field(snapshot.terms, field).select("term").distinct().where(matches)
+    few = [r["term"] for r in terms.limit(FEW_TERMS + 1).collect()]
+    hits = own.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else own.join(terms, "term", "left_semi")
+    one = hits.agg((F.min("term") == F.max("term")).alias("one"))
     single = first_field(hits.crossJoin(F.broadcast(one)).withColumn("tf", F.when(F.col("one"), F.col("tf")).otherwise(F.lit(1))).withColumn("keep", F.col("one") | F.lit(bool(field))).withColumn("field_len", F.when(F.col("keep"), F.col("field_len")).otherwise(F.lit(0))).withColumn("field", F.when(F.col("keep"), F.col("field")).otherwise(F.lit(""))), "")
     return single
 
 
 def valid_regex(snapshot: Snapshot, pattern: str) -> None:
-    from pyspark.errors.exceptions.captured import CapturedException  # noqa: F401
-
     from inkwell.plans.lexer import QueryError
 
     try:

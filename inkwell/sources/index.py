@@ -3,6 +3,7 @@
     <path>/segments/<id>/docs       (doc_num, doc_id, stored)
     <path>/segments/<id>/lengths    (doc_id, field, field_len)
     <path>/segments/<id>/postings   (term, doc_id, tf, positions, field_len), by field, in the order of terms
+    <path>/segments/<id>/terms      (field, term, docs): the dictionary, deleted documents included
     <path>/deletes/<epoch>          (segment_id, doc_id)
     <path>/manifest/<epoch>.json    the segments and delete folders of the epoch
 
@@ -24,6 +25,7 @@ from inkwell.sources import documents
 from inkwell.sources.shared import exists, hadoop_fs, remove
 
 POSTINGS = "field string, term string, doc_id string, tf bigint, positions array<int>, field_len bigint"
+TERMS = "field string, term string, docs bigint"
 LENGTHS = "doc_id string, field string, field_len bigint"
 DOCS = "doc_num bigint, doc_id string, stored string"
 
@@ -65,6 +67,7 @@ class Snapshot:
     docs: DataFrame  # segment_id, doc_num, doc_id, stored: live documents
     lengths: DataFrame
     postings: DataFrame
+    terms: DataFrame  # field, term, docs: a superset of the live dictionary
     config: Config
     epoch: int = 0
     cached: dict = field(default_factory=dict)
@@ -173,8 +176,13 @@ class Index:
         lengths(own, self.config.analyzer).write.mode("overwrite").parquet(f"{at}/lengths")
         # range partitions in the order of terms: row-group statistics answer term and prefix lookups
         inverted(own, self.config.analyzer).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+        self._write_terms(at)
         remove(self.spark, f"{at}/source")
 
+    def _write_terms(self, at: str) -> None:
+        written = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("field", "term").agg(F.count("*").alias("docs"))
+        written.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
+
     # reading
 
     def _segment(self, name: str, part: str, schema: str) -> DataFrame:
@@ -206,6 +214,7 @@ class Index:
         docs = self._union([self._segment(s, "docs", DOCS) for s in m.segments], DOCS)
         own_lengths = self._union([self._segment(s, "lengths", LENGTHS) for s in m.segments], LENGTHS)
         postings = self._union([self._segment(s, "postings", POSTINGS) for s in m.segments], POSTINGS)
+        terms = self._union([self._segment(s, "terms", TERMS) for s in m.segments], TERMS)
         docs, own_lengths, postings = (self._live(x, m) for x in (docs, own_lengths, postings))
         if self.gone and m.segments:
             ids = spark.createDataFrame([(i,) for i in sorted(self.gone)], "doc_id string")
@@ -215,8 +224,10 @@ class Index:
             live = F.lit("").alias("segment_id")
             docs = docs.unionByName(head.select(F.monotonically_increasing_id().alias("doc_num"), "doc_id", "stored", live))
             own_lengths = own_lengths.unionByName(lengths(head, self.config.analyzer).select("*", live))
-            postings = postings.unionByName(inverted(head, self.config.analyzer).select("*", live))
-        return Snapshot(spark, docs, own_lengths, postings, self.config, m.epoch)
+            own = inverted(head, self.config.analyzer)
+            postings = postings.unionByName(own.select("*", live))
+            terms = terms.unionByName(own.groupBy("field", "term").agg(F.count("*").alias("docs")).select("*", live))
+        return Snapshot(spark, docs, own_lengths, postings, terms, self.config, m.epoch)
 
     # maintenance and inspection
 
@@ -238,6 +249,7 @@ class Index:
                 live.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/{part}")
             else:
                 live.write.mode("overwrite").parquet(f"{at}/{part}")
+        self._write_terms(at)
         deletes = []
         gone = self._gone(m)
         if gone is not None:

@@ -111,6 +111,14 @@ def test_pushdown(spark, tmp_path, capsys):
     assert "StringStartsWith(term,riv)" in capsys.readouterr().out
 
 
+def test_many_terms_are_joined(engine, snapshot, monkeypatch):
+    from inkwell.operators import leaf
+
+    monkeypatch.setattr(leaf, "FEW_TERMS", 1)
+    for text in ("/s[ai]l.*/", "body:ships~2", "/silk/"):
+        assert found(engine.search(text, snapshot=snapshot)) == pytest.approx(BRUTE.search(parse(text)), abs=1e-9), text
+
+
 def test_own_analyzer(spark, tmp_path):
     own = Engine(spark, f"file://{tmp_path}/own", Config(analyzer=lambda c: F.split(c, ",")))
     own.index_all(documents.from_literals(spark, [("x", {"f": "One Two,three"}), ("y", {"f": "three,One Two"})]))
