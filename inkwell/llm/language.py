@@ -30,7 +30,7 @@ MARGIN = 1.0
 #: Documents of fewer bytes are too short to reject.
 MIN_BYTES = 200
 
-OUT = "doc_id bigint, declared string, language string, bits_per_byte double, margin double, rejected boolean"
+OUT = "doc_id bigint, declared string, language string, bits_per_byte double, margin double, keep boolean"
 
 
 def packed(data: np.ndarray, order: int) -> np.ndarray:
@@ -140,9 +140,9 @@ def decide(texts: list[str], declared: list[str | None], trees: dict[str, Tree],
 
 
 def identify(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, declared, language, bits_per_byte, margin, rejected) of every row.
+    """(doc_id, declared, language, bits_per_byte, margin, keep) of every row.
 
-    Rejected: no language codes the text well (over ``max_bits`` bits a byte), or another language than the declared one does so much better (by more than ``margin`` bits
+    Not kept: no language codes the text well (over ``max_bits`` bits a byte), or another language than the declared one does so much better (by more than ``margin`` bits
     a byte).  Texts under ``min_bytes`` bytes are never rejected; null and empty texts have no language and 0 bits.  A null or unknown declared language isn't
     held against a text.  Without trees, languages and figures are null.  Ties go to the first language by name.
     """
@@ -153,8 +153,8 @@ def identify(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS
             declared = batch.column("declared")
             got = decide(K.strings(batch.column("text")), declared.to_pylist(), sent.value, max_bits, margin, min_bytes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), declared, pa.array(got["language"], type=pa.string()), pa.array(got["bits_per_byte"], from_pandas=True), pa.array(got["margin"], from_pandas=True), pa.array(got["rejected"])],
-                names=["doc_id", "declared", "language", "bits_per_byte", "margin", "rejected"],
+                [batch.column("doc_id"), declared, pa.array(got["language"], type=pa.string()), pa.array(got["bits_per_byte"], from_pandas=True), pa.array(got["margin"], from_pandas=True), pa.array(~got["rejected"])],
+                names=["doc_id", "declared", "language", "bits_per_byte", "margin", "keep"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("declared"), "text").mapInArrow(run, OUT)

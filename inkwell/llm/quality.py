@@ -34,7 +34,7 @@ CLASSES = {
     "sign": r"#$%&*+/<=>@\[\\\]^_`{|}~",
 }
 
-OUT = "doc_id bigint, lang string, chars bigint, words bigint, chars_distance double, words_distance double, verdict string"
+OUT = "doc_id bigint, lang string, chars bigint, words bigint, chars_distance double, words_distance double, verdict string, keep boolean"
 
 
 def class_table() -> np.ndarray:
@@ -171,10 +171,10 @@ def measure(texts: list[str], langs: list[str | None], references: References) -
 
 
 def judge(docs: DataFrame, references: References, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_chars: float = MAX_CHARS_DISTANCE, max_words: float = MAX_WORDS_DISTANCE) -> DataFrame:
-    """(doc_id, lang, chars, words, chars_distance, words_distance, verdict) of every row.
+    """(doc_id, lang, chars, words, chars_distance, words_distance, verdict, keep) of every row.
 
     verdict: ``short`` (under a minimum length: not judged), ``chars`` or ``words`` (too far from the reference; characters are looked at first), or
-    ``ok``.  Null and empty texts are short, their distances null, as is the distance of words where there are none.  Rows without a language are compared to
+    ``ok``; ``short`` and ``ok`` are kept.  Null and empty texts are short, their distances null, as is the distance of words where there are none.  Rows without a language are compared to
     each other: null is a language of its own.  Further columns are ignored; repeated rows stay repeated.
     """
     sent = docs.sparkSession.sparkContext.broadcast(references)
@@ -185,8 +185,8 @@ def judge(docs: DataFrame, references: References, min_chars: int = MIN_CHARS, m
             a, b = np.round(a, 6), np.round(b, 6)
             verdict = np.where((n_chars < min_chars) | (n_words < min_words), "short", np.where(a > max_chars, "chars", np.where(b > max_words, "words", "ok")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(n_chars), pa.array(n_words), pa.array(a, from_pandas=True), pa.array(b, from_pandas=True), pa.array(verdict.astype(object), type=pa.string())],
-                names=["doc_id", "lang", "chars", "words", "chars_distance", "words_distance", "verdict"],
+                [batch.column("doc_id"), batch.column("lang"), pa.array(n_chars), pa.array(n_words), pa.array(a, from_pandas=True), pa.array(b, from_pandas=True), pa.array(verdict.astype(object), type=pa.string()), pa.array((verdict == "ok") | (verdict == "short"))],
+                names=["doc_id", "lang", "chars", "words", "chars_distance", "words_distance", "verdict", "keep"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, OUT)
@@ -222,6 +222,6 @@ wd AS (SELECT r, sum({js("p", "q")}) AS x FROM (
 m AS (SELECT c.doc_id, c.lang, c.chars, coalesce(o.words, 0) AS words,
   CASE WHEN c.chars > 0 THEN round(sqrt(greatest(0, ({chars}) / 2)), 6) END AS chars_distance, round(sqrt(greatest(0, wd.x / 2)), 6) AS words_distance
   FROM c JOIN rc ON rc.lang IS NOT DISTINCT FROM c.lang LEFT JOIN own o USING (r) LEFT JOIN wd USING (r))
-SELECT doc_id, lang, chars, words, chars_distance, words_distance, CASE WHEN chars < {MIN_CHARS} OR words < {MIN_WORDS} THEN 'short'
-  WHEN chars_distance > {MAX_CHARS_DISTANCE} THEN 'chars' WHEN words_distance > {MAX_WORDS_DISTANCE} THEN 'words' ELSE 'ok' END AS verdict FROM m
+SELECT *, verdict IN ('ok', 'short') AS keep FROM (SELECT doc_id, lang, chars, words, chars_distance, words_distance, CASE WHEN chars < {MIN_CHARS} OR words < {MIN_WORDS} THEN 'short'
+  WHEN chars_distance > {MAX_CHARS_DISTANCE} THEN 'chars' WHEN words_distance > {MAX_WORDS_DISTANCE} THEN 'words' ELSE 'ok' END AS verdict FROM m)
 """

@@ -364,11 +364,11 @@ def test_held_out_languages(spark):
     trees = language.train(docs.where(~held_out), per_language=15)
     assert sorted(trees) == list(kinds)
     rows = language.identify(docs.where(held_out), trees).collect()
-    assert all(r["language"] == r["declared"] and not r["rejected"] and r["margin"] > 1 for r in rows) and len(rows) == 30
+    assert all(r["language"] == r["declared"] and r["keep"] and r["margin"] > 1 for r in rows) and len(rows) == 30
     odd = table(spark, [texts[0], "".join(chr(0x4E00 + (k * 37) % 900) for k in range(300)), "ok", None], {0: "bb", 1: "aa", 2: "aa", 3: "aa"})
-    assert {r["doc_id"]: r["rejected"] for r in language.identify(odd, trees).collect()} == {0: True, 1: True, 2: False, 3: False}
+    assert {r["doc_id"]: r["keep"] for r in language.identify(odd, trees).collect()} == {0: False, 1: False, 2: True, 3: True}
     assert sorted(r["doc_id"] for r in language.clean(odd, trees).collect()) == [2, 3]
-    assert all(r["language"] is None and not r["rejected"] for r in language.identify(odd, {}).collect())
+    assert all(r["language"] is None and r["keep"] for r in language.identify(odd, {}).collect())
 
 
 # 8
@@ -402,6 +402,7 @@ def test_distances(spark):
     references = quality.learn(docs)
     rows = {r["doc_id"]: r for r in quality.judge(docs, references, max_chars=0.25, max_words=0.7).collect()}
     assert {rows[i]["verdict"] for i in range(30)} == {"ok"} and [rows[i]["verdict"] for i in range(31, 35)] == ["words", "short", "short", "short"]
+    assert all(r["keep"] == (i != 31) for i, r in rows.items())
     assert rows[30]["words"] == 0 and rows[30]["verdict"] == "short" and rows[30]["words_distance"] is None and rows[34]["chars_distance"] is None
     all_words = Counter(w for t in texts for w in words_of(t))
     common = [w for w, _ in sorted(all_words.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]]
