@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before encoding: contractions, runs of letters, numbers or other signs with one space before, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 OUT = "doc_id bigint, n_tokens bigint, token_ids array<int>, exact boolean"
 
@@ -77,19 +78,21 @@ class Codec:
         for s, i in self.ranks.items():
             self.strings[i] = s
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        pieces = self.cut(text)
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
+        known, pieces = self.known, self.cut(text)
         for piece in set(pieces).difference(known):
-            known[piece] = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        for ids in map(known.__getitem__, pieces):
-            out += ids
+            known[piece] = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        out = b"".join(map(known.__getitem__, pieces))
         if len(known) > REMEMBERED:
             known.clear()
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
@@ -116,13 +119,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value, pattern)
-        for batch in batches:
+        for batch in K.pieces(batches):
             texts, ids = K.strings(batch.column("text")), batch.column("doc_id")
             for lo, hi in K.spans(texts):
-                encoded = [own.encode(t) for t in texts[lo:hi]]
-                exact = [own.decode(e) == t for e, t in zip(encoded, texts[lo:hi], strict=True)]
+                encoded = [np.frombuffer(own.encode_packed(t), dtype=np.int32) for t in texts[lo:hi]]
+                exact = [own.decode(e.tolist()) == t for e, t in zip(encoded, texts[lo:hi], strict=True)]
                 sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=hi - lo)
-                flat = np.fromiter((i for e in encoded for i in e), dtype=np.int32, count=int(sizes.sum()))
+                flat = np.concatenate(encoded)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), K.list_array(pa.array(flat), np.concatenate([[0], np.cumsum(sizes)])), pa.array(exact)], names=["doc_id", "n_tokens", "token_ids", "exact"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, OUT)
@@ -134,7 +137,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
-        for batch in batches:
+        for batch in K.pieces(batches):
             texts = [None if ids is None else own.decode(ids) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 

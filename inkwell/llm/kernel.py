@@ -7,6 +7,7 @@ agree between executors, runs and machines.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -48,6 +49,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that only a few texts at a time are Python strings; at the end of a partition freed memory goes back to the system."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def strings(column: pa.Array) -> list[str]:
     """The column's texts; null counts as the empty text."""
     return pc.fill_null(column.cast(pa.string()), "").to_pylist()
@@ -158,7 +169,7 @@ def keep(docs: DataFrame, which: Callable[[list[str], pa.RecordBatch], np.ndarra
     """The rows of ``docs`` that ``which`` marks, with all columns as they are.  It gets the texts and the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(np.asarray(which(strings(batch.column("text")), batch), dtype=bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -108,7 +108,7 @@ def code_lengths(texts: list[str], trees: dict[str, Tree]) -> tuple[np.ndarray,
     """(bits by text and language, bytes by text)."""
     bits, sizes = np.zeros((len(texts), len(trees))), np.zeros(len(texts), dtype=np.int64)
     order = next(iter(trees.values())).order if trees else ORDER
-    for lo, hi in K.spans(texts, 4 * K.CHUNK):
+    for lo, hi in K.spans(texts):
         codes, bounds = padded(texts[lo:hi], order)
         sizes[lo:hi] = np.diff(bounds)
         which, values = pd.factorize(codes)
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches):
             declared = batch.column("declared")
             got = decide(K.strings(batch.column("text")), declared.to_pylist(), sent.value, max_bits, margin, min_bytes)
             yield pa.RecordBatch.from_arrays(

@@ -124,7 +124,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     sent = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches):
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[r[0]], *r[1:]) for r in scan(K.strings(batch.column("text")), sent.value, least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=x) for k, x in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int64()))], names=["doc_id", "license", "containment", "first_token"])

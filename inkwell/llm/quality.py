@@ -66,7 +66,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, key, n) of this partition: characters by class, words by word."""
     chars: dict[str | None, np.ndarray] = {}
     words: dict[str | None, dict[int, list]] = {}
-    for batch in batches:
+    for batch in K.pieces(batches):
         texts, langs = K.strings(batch.column("text")), batch.column("lang").to_pylist()
         for lo, hi in K.spans(texts):
             counts = class_counts(texts[lo:hi])
@@ -180,7 +180,7 @@ def judge(docs: DataFrame, references: References, min_chars: int = MIN_CHARS, m
     sent = docs.sparkSession.sparkContext.broadcast(references)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches):
             n_chars, n_words, a, b = measure(K.strings(batch.column("text")), batch.column("lang").to_pylist(), sent.value)
             a, b = np.round(a, 6), np.round(b, 6)
             verdict = np.where((n_chars < min_chars) | (n_words < min_words), "short", np.where(a > max_chars, "chars", np.where(b > max_words, "words", "ok")))

@@ -81,7 +81,7 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         return values[first], np.add.reduceat(n, first)
 
-    for batch in batches:
+    for batch in K.pieces(batches):
         texts = K.strings(batch.column("text"))
         for lo, hi in K.spans(texts, 4 * K.CHUNK):
             codes, _ = packed(texts[lo:hi])
@@ -187,7 +187,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         if id(own) not in _built:
             _built.clear()
             _built[id(own)] = own.table()
-        for batch in batches:
+        for batch in K.pieces(batches):
             total, sizes = bits(K.strings(batch.column("text")), own, _built[id(own)])
             each = np.divide(total, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.round(total, 4)), pa.array(np.round(each, 6), from_pandas=True)], names=["doc_id", "symbols", "bits", "bits_per_symbol"])

@@ -135,7 +135,7 @@ def found(texts: list[str], seeds: Seeds, match: int, least: float) -> Iterator[
 def scan(batches: Iterator[pa.RecordBatch], seeds: Seeds, match: int, least: float) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "coverage", "tiles", "longest"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-    for batch in batches:
+    for batch in K.pieces(batches):
         ids = batch.column("doc_id").to_pylist()
         rows = [(ids[r[0]], *r[1:]) for r in found(K.strings(batch.column("text")), seeds, match, least)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=types[k]) for k in range(5)], names=names)

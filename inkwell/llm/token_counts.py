@@ -70,7 +70,7 @@ def count(docs: DataFrame, cache: str, path: str = bpe.VOCABULARY, pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(sent.value, pattern)
-        for batch in batches:
+        for batch in K.pieces(batches):
             n = np.fromiter((len(own.encode_ordinary(t)) for t in K.strings(batch.column("text"))), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n)], names=["digest", "n_tokens"])
 

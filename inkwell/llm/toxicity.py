@@ -210,7 +210,7 @@ def score(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 def features(batches: Iterator[pa.RecordBatch], letters: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, clean): in how many documents each word beginning occurs."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
+    for batch in K.pieces(batches):
         for text, toxic in zip(K.strings(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
             found = set()
             for word in set(re.findall(r"[^\W\d_]+", text.lower())):
@@ -225,7 +225,7 @@ def features(batches: Iterator[pa.RecordBatch], letters: tuple[int, int]) -> Ite
 def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds minimum hashes that near copies mostly share."""
     seeds = K.factors(3)
-    for batch in batches:
+    for batch in K.pieces(batches):
         texts = K.strings(batch.column("text"))
         keys = []
         for lo, hi in K.spans(texts):
@@ -276,7 +276,7 @@ def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches):
             total, clauses = score(K.strings(batch.column("text")), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(clauses), pa.array(total >= threshold - 1e-9)], names=["doc_id", "score", "clauses", "toxic"])
 
