@@ -23,6 +23,8 @@ class Engine:
 
     def __getattr__(self, name: str):
         """Index operations: index, index_all, delete, flush, merge, merge_all, segments, segment_stats, load_doc, dump_postings, dump_deletions, close."""
+        if name == "store":  # not there before __init__
+            raise AttributeError(name)
         return getattr(self.store, name)
 
     def search(self, text: str, scoring: Scoring | None = None, snapshot: Snapshot | None = None) -> DataFrame:
