@@ -8,6 +8,7 @@ agree between executors, runs and machines.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -25,7 +26,14 @@ U = np.uint64
 @lru_cache(maxsize=1)
 def word_table() -> np.ndarray:
     """1 for every code point that is a letter or a number."""
-    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    return marked(r"[^\W_]+", np.zeros(0x110000, dtype=np.uint8), 1)
+
+
+def marked(pattern: str, table: np.ndarray, value: int) -> np.ndarray:
+    """``table`` of all code points with ``value`` where the pattern matches."""
+    for m in re.finditer(pattern, "".join(map(chr, range(0x110000)))):
+        table[m.start() : m.end()] = value
+    return table
 
 
 _powers: dict[str, np.ndarray] = {}

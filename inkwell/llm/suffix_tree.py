@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
+from inkwell.sources.shared import checkpointed
 
 DEPTH, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -40,14 +41,8 @@ OUT = "doc_id bigint, symbols bigint, bits double, bits_per_symbol double"
 def classes() -> np.ndarray:
     """The class of every code point, after lower-casing; 0 is the line end, with which texts are padded."""
     table = np.full(0x110000, OTHER, dtype=np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            table[i] = OTHER_LETTER
-        elif c.isnumeric():
-            table[i] = DIGIT
-        elif c.isspace():
-            table[i] = OTHER_SPACE
+    for pattern, value in ((r"[^\W\d_]+", OTHER_LETTER), (r"\d+", DIGIT), (r"\s+", OTHER_SPACE)):
+        K.marked(pattern, table, value)
     assert len(LETTERS) + len(SIGNS) <= OTHER_LETTER
     for k, c in enumerate("\n" + SIGNS.replace("\n", "") + LETTERS):
         table[ord(c)] = k
@@ -101,9 +96,12 @@ class Tree:
 
     def __init__(self, states: list[tuple[int, int]], bits: np.ndarray):
         self.states, self.bits = states, bits
+        self.filled: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
-        """The longest suffix state of each full-length context; shorter states are filled in first."""
+        """The longest suffix state of each full-length context; shorter states are filled in first.  Made once in a process, where it is needed."""
+        if self.filled is not None:
+            return self.filled
         out = np.zeros(SYMBOLS**DEPTH, dtype=np.int32)
         for k in range(1, DEPTH + 1):
             view = out.reshape(-1, SYMBOLS**k)
@@ -111,6 +109,7 @@ class Tree:
             if own:
                 contexts, numbers = (np.array(x) for x in zip(*own, strict=True))
                 view[:, contexts] = numbers
+        self.filled = out
         return out
 
 
@@ -126,7 +125,7 @@ def build(docs: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_B
     length.
     """
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).checkpoint()
+    counted = checkpointed(docs.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     levels = {}
     for k in range(DEPTH + 1):
@@ -160,9 +159,6 @@ def build(docs: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_B
     return Tree(states, np.stack(rows).astype(np.float32))
 
 
-_built: dict[int, np.ndarray] = {}
-
-
 def bits(texts: list[str], tree: Tree, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits, symbols) of each text."""
     total, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
@@ -184,11 +180,8 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        if id(own) not in _built:
-            _built.clear()
-            _built[id(own)] = own.table()
         for batch in K.pieces(batches):
-            total, sizes = bits(K.strings(batch.column("text")), own, _built[id(own)])
+            total, sizes = bits(K.strings(batch.column("text")), own, own.table())
             each = np.divide(total, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.round(total, 4)), pa.array(np.round(each, 6), from_pandas=True)], names=["doc_id", "symbols", "bits", "bits_per_symbol"])
 
