@@ -29,8 +29,7 @@ def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return suffix_tree.score(docs, suffix_tree.build(docs))
+    return suffix_tree.score_all(table(spark, sf_dir, "documents"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

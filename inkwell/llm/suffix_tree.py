@@ -1,6 +1,10 @@
 """Language-model scores from a probabilistic suffix tree.
 
-Symbols are case-folded characters, put into 64 classes.  How often each symbol followed each context of up to DEPTH symbols is counted over all documents.  A context becomes
+``score_all`` scores a corpus by the tree of that corpus, whose states grow with it: a context becomes a state if it occurs MIN_COUNT times and a divergence test says that it
+predicts differently from its next shorter suffix.  The tree is never in one place: its grams are dealt out by the latest symbols of their contexts, so that a context lies
+with its suffixes, and each slice of the texts gets the costs of the grams that it holds.
+
+``build`` and ``score`` are for a tree of bounded size that is sent to other documents.  Symbols are case-folded characters, put into 64 classes.  How often each symbol followed each context of up to DEPTH symbols is counted over all documents.  A context becomes
 a state if it is frequent enough (a share of all positions, so their number is bounded whatever the size of the corpus) and if a divergence test says that it
 predicts differently from its next shorter suffix.  A state's next-symbol distribution is smoothed by a floor.  A text is scored by the longest
 state that is a suffix of what came before each symbol.
@@ -10,7 +14,7 @@ With six bits a symbol a context of four is a 24-bit number, so a table gives th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
-from inkwell.sources.shared import checkpointed
+from inkwell.sources.shared import checkpointed, written
 
 DEPTH, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -29,6 +33,12 @@ MIN_SHARE = 1e-5
 MIN_BITS, MIN_GAIN = 0.05, 2e-7
 #: Every symbol has at least this probability in every state.
 FLOOR = 1e-4
+#: In ``score_all``, whatever the size of the corpus: a state's context occurs at least so often.
+MIN_COUNT = 2
+#: Characters of text in a slice, and rows of grams in a part of the tree, about.
+SLICE, PART = 64_000_000, 2_000_000
+#: Contexts of the same KEY latest symbols lie together; shorter ones are made on the driver and sent to all.
+KEY = 2
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíîïñóôöúùûüß"
 SIGNS = " \n.,;:!?'\"-()"
@@ -64,18 +74,20 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], offsets - DEPTH * np.arange(len(offsets))
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, ascending; sums of their counts)."""
+    values, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    order = np.argsort(values, kind="stable")
+    values, n = values[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.add.reduceat(n, first)
+
+
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, n): how often each context and next symbol occur in this partition."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
 
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        values, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(values, kind="stable")
-        values, n = values[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        return values[first], np.add.reduceat(n, first)
-
     for batch in K.pieces(batches):
         texts = K.strings(batch.column("text"))
         for lo, hi in K.spans(texts, 4 * K.CHUNK):
@@ -84,10 +96,10 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(np.unique(codes, return_counts=True))
                 waiting += len(held[-1][0])
             if waiting > 8_000_000:
-                held = [joined()]
+                held = [merged(held)]
                 waiting = len(held[0][0]) // 2
     if held:
-        values, n = joined()
+        values, n = merged(held)
         yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
 
@@ -186,3 +198,116 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.round(total, 4)), pa.array(np.round(each, 6), from_pandas=True)], names=["doc_id", "symbols", "bits", "bits_per_symbol"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, OUT)
+
+
+class Coding:
+    """How texts become symbols: ``bits`` a symbol, contexts of up to ``depth`` symbols, ``packed`` as above."""
+
+    def __init__(self, bits: int, depth: int, packed: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.bits, self.depth, self.packed = bits, depth, packed
+
+    def mask(self, k: int) -> int:
+        return (1 << (self.bits * k)) - 1
+
+
+CLASSES = Coding(BITS, DEPTH, packed)
+
+#: The grams of one length: (codes, ascending; their next symbol's share in its context; cost in bits by the longest state).
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def priced(codes: np.ndarray, n: np.ndarray, coding: Coding, low: int, high: int, up: Level | None, min_count: int, min_bits: float, floor: float) -> Level:
+    """The grams of contexts of ``high`` symbols, given their counts and, unless ``low`` is 0, the level of ``low`` - 1.
+
+    ``codes`` are distinct and ascending, and with a context all others of the same latest ``low`` symbols are there.
+    """
+    chain, to_shorter = [(codes, n)], []
+    for k in range(high - 1, low - 1, -1):
+        shorter, at = np.unique(chain[-1][0] & coding.mask(k + 1), return_inverse=True)
+        to_shorter.append(at)
+        chain.append((shorter, np.bincount(at, weights=chain[-1][1], minlength=len(shorter))))
+    for k in range(low, high + 1):
+        own, count = chain.pop()
+        first = np.flatnonzero(np.diff(own >> coding.bits, prepend=-1))
+        whole = np.add.reduceat(count, first)
+        sizes = np.diff(np.append(first, len(own)))
+        share = count / np.repeat(whole, sizes)
+        cost = -np.log2((1 - (1 << coding.bits) * floor) * share + floor)
+        if up is not None:
+            at = to_shorter.pop() if k > low else np.searchsorted(up[0], own & coding.mask(k))
+            gain = np.add.reduceat(share * np.log2(share / up[1][at]), first)
+            state = (whole >= min_count) & (gain >= min_bits)
+            cost = np.where(np.repeat(state, sizes), cost, up[2][at])
+        up = (own, share, cost)
+    return up
+
+
+def score_all(docs: DataFrame, coding: Coding = CLASSES, min_count: int = MIN_COUNT, min_bits: float = MIN_BITS, floor: float = FLOOR, slice_chars: int = SLICE, part_rows: int = PART) -> DataFrame:
+    """(doc_id, symbols, bits, bits_per_symbol) of every row, by the tree of all rows; as in ``score``.
+
+    Texts are put into slices.  A slice's distinct grams are counted, go to the part of the tree that their contexts' latest symbols name, and come back with their costs.  Only
+    contexts of fewer than KEY symbols are on the driver.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slices = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars + 1
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
+
+    def tallied(texts: pa.Table) -> pa.Table:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for batch in K.pieces(texts.to_batches()):
+            own = K.strings(batch.column("text"))
+            for lo, hi in K.spans(own, 4 * K.CHUNK):
+                codes, _ = coding.packed(own[lo:hi])
+                if len(codes):
+                    held.append(np.unique(codes, return_counts=True))
+                    waiting += len(held[-1][0])
+                if waiting > 4_000_000:
+                    held = [merged(held)]
+                    waiting = len(held[0][0]) // 2
+        values, n = merged(held) if held else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        number = texts.column("slice")[0].as_py()
+        return pa.table({"slice": pa.array(np.full(len(values), number, dtype=np.int32)), "code": pa.array(values.astype(np.int64)), "n": pa.array(n)})
+
+    grams = written(sliced.select("slice", "text").groupBy("slice").applyInArrow(tallied, "slice int, code bigint, n bigint"), "grams")
+    short = grams.groupBy(F.col("code").bitwiseAND(F.lit(coding.mask(KEY))).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).toPandas().sort_values("code")
+    if len(short):
+        shortest = priced(short["code"].to_numpy(), short["n"].to_numpy(), coding, 0, KEY - 1, None, min_count, min_bits, floor)
+    else:
+        shortest = None
+    sent = spark.sparkContext.broadcast(shortest)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("slice").to_numpy(), b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if not sum(len(h[0]) for h in held):
+            return
+        number, codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        distinct, at = np.unique(codes, return_inverse=True)
+        cost = priced(distinct, np.bincount(at, weights=n), coding, KEY, coding.depth, sent.value, min_count, min_bits, floor)[2].astype(np.float32)
+        for lo in range(0, len(codes), 200_000):
+            own = slice(lo, lo + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array(codes[own]), pa.array(cost[at[own]])], names=["slice", "code", "cost"])
+
+    latest = F.shiftright("code", coding.bits).bitwiseAND(F.lit(coding.mask(KEY)))
+    parts = int(short["rows"].sum()) // part_rows + 1
+    costs = grams.repartition(parts, latest).mapInArrow(part, "slice int, code bigint, cost float")
+
+    def scored(texts: pa.Table, priced_grams: pa.Table) -> pa.Table:
+        codes, cost = priced_grams.column("code").to_numpy(), priced_grams.column("cost").to_numpy()
+        order = np.argsort(codes)
+        codes, cost = codes[order], cost[order].astype(np.float64)
+        out = []
+        for batch in K.pieces(texts.to_batches()):
+            own = K.strings(batch.column("text"))
+            total, sizes = np.zeros(len(own)), np.fromiter((len(t.lower()) for t in own), dtype=np.int64, count=len(own))
+            for lo, hi in K.spans(own, 2 * K.CHUNK):
+                found, bounds = coding.packed(own[lo:hi])
+                values, at = np.unique(found, return_inverse=True)
+                total[lo:hi] = K.segments(np.add, cost[np.searchsorted(codes, values)][at] if len(values) else np.empty(0), bounds, 0.0)
+            each = np.divide(total, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.round(total, 4)), pa.array(np.round(each, 6), from_pandas=True)], names=["doc_id", "symbols", "bits", "bits_per_symbol"]))
+        return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "symbols": pa.array([], pa.int64()), "bits": pa.array([], pa.float64()), "bits_per_symbol": pa.array([], pa.float64())})
+
+    return sliced.groupBy("slice").cogroup(costs.groupBy("slice")).applyInArrow(scored, OUT)

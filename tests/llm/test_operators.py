@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, language, licenses, ngram_join, quality, suffix_tree, tiling, token_counts, toxicity, url_filter
+from inkwell.llm import bpe, language, licenses, ngram_join, quality, queries, suffix_tree, tiling, token_counts, toxicity, url_filter
 from inkwell.llm import kernel as K
 from inkwell.sources.shared import scratch
 
@@ -317,6 +317,43 @@ def test_suffix_tree_against_brute_force(spark):
         assert (got[i]["bits_per_symbol"] is None) == (not s)
 
 
+def test_states_grow_with_the_corpus(spark, tmp_path):
+    rare = "qu wyx zqj " * 3
+    for k, size in enumerate((2, 60)):
+        rows = [(i, t) for i, t in enumerate([rare, rare, *(prose(j, 3000) for j in range(size))])]
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+    few, many = ({r["doc_id"]: r["bits_per_symbol"] for r in queries.op4_lm_scoring(spark, f"{tmp_path}/{k}").collect()} for k in (0, 1))
+    assert few[0] < 1 and many[0] < few[0] + 0.2  # contexts that occur a few times are states in a corpus of any size
+
+
+@pytest.mark.parametrize("slice_chars", [300, 10**6])
+def test_whole_tree_against_brute_force(spark, slice_chars):
+    texts = [prose(k, 60) for k in range(6)] + ["", None, "Ünïcode: 12 ☕\tx\n", prose(0, 60)]
+    coding = suffix_tree.CLASSES
+    symbols = [[int(suffix_tree.classes()[ord(c)]) for c in (t or "").lower()] for t in texts]
+    contexts = {}
+    for s in symbols:
+        padded = [0] * coding.depth + s
+        for i in range(len(s)):
+            for k in range(coding.depth + 1):
+                contexts.setdefault(tuple(padded[i + coding.depth - k : i + coding.depth]), Counter())[s[i]] += 1
+    states = {()}
+    for context, following in contexts.items():
+        if context and (n := sum(following.values())) >= 3:
+            up = contexts[context[1:]]
+            if sum(c / n * math.log2(c / n * sum(up.values()) / up[s]) for s, c in following.items()) >= 0.1:
+                states.add(context)
+    got = {r["doc_id"]: r for r in suffix_tree.score_all(table(spark, texts), coding, min_count=3, min_bits=0.1, floor=1e-3, slice_chars=slice_chars, part_rows=500).collect()}
+    assert len(got) == len(texts) and len(states) > 50
+    for i, s in enumerate(symbols):
+        padded, expected = [0] * coding.depth + s, 0.0
+        for j in range(len(s)):
+            own = next(c for k in range(coding.depth, -1, -1) if (c := tuple(padded[j + coding.depth - k : j + coding.depth])) in states)
+            expected -= math.log2((1 - 2**coding.bits * 1e-3) * contexts[own][s[j]] / sum(contexts[own].values()) + 1e-3)
+        assert got[i]["bits"] == pytest.approx(expected, rel=1e-5, abs=1e-3) and got[i]["symbols"] == len((texts[i] or "").lower())
+        assert (got[i]["bits_per_symbol"] is None) == (not s)
+
+
 # 7
 
 
