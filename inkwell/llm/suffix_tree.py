@@ -2,7 +2,7 @@
 
 ``score_all`` scores a corpus by the tree of that corpus, whose states grow with it: a context becomes a state if it occurs MIN_COUNT times and a divergence test says that it
 predicts differently from its next shorter suffix.  The tree is never in one place: its grams are dealt out by the latest symbols of their contexts, so that a context lies
-with its suffixes, and each slice of the texts gets the costs of the grams that it holds.
+with its suffixes, and each slice of the texts gets the costs of the grams that it holds.  Symbols are the UTF-8 bytes of lower-cased text.
 
 ``build`` and ``score`` are for a tree of bounded size that is sent to other documents.  Symbols are case-folded characters, put into 64 classes.  How often each symbol followed each context of up to DEPTH symbols is counted over all documents.  A context becomes
 a state if it is frequent enough (a share of all positions, so their number is bounded whatever the size of the corpus) and if a divergence test says that it
@@ -210,7 +210,27 @@ class Coding:
         return (1 << (self.bits * k)) - 1
 
 
+def packed_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bounds): for each UTF-8 byte of each lower-cased text, the BYTES.depth bytes before it (line ends before the first) and itself, lowest."""
+    depth = BYTES.depth
+    encoded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    gap = b"\n" * depth
+    own = np.frombuffer(gap + gap.join(encoded), dtype=np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)))])
+    codes = np.zeros(len(own) - depth, dtype=np.int64)
+    for k in range(depth + 1):
+        codes <<= 8
+        codes |= own[k : k + len(codes)]
+    inside = np.ones(len(codes), dtype=bool)  # but for the gaps' own bytes
+    ends = bounds[1:-1] + depth * np.arange(len(texts) - 1)
+    for k in range(depth):
+        inside[ends + k] = False
+    return codes[inside], bounds
+
+
 CLASSES = Coding(BITS, DEPTH, packed)
+#: Every text as it is, in any script; the case alone is folded.
+BYTES = Coding(8, 5, packed_bytes)
 
 #: The grams of one length: (codes, ascending; their next symbol's share in its context; cost in bits by the longest state).
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -242,8 +262,8 @@ def priced(codes: np.ndarray, n: np.ndarray, coding: Coding, low: int, high: int
     return up
 
 
-def score_all(docs: DataFrame, coding: Coding = CLASSES, min_count: int = MIN_COUNT, min_bits: float = MIN_BITS, floor: float = FLOOR, slice_chars: int = SLICE, part_rows: int = PART) -> DataFrame:
-    """(doc_id, symbols, bits, bits_per_symbol) of every row, by the tree of all rows; as in ``score``.
+def score_all(docs: DataFrame, coding: Coding = BYTES, min_count: int = MIN_COUNT, min_bits: float = MIN_BITS, floor: float = FLOOR, slice_chars: int = SLICE, part_rows: int = PART) -> DataFrame:
+    """(doc_id, symbols, bits, bits_per_symbol) of every row, by the tree of all rows; as in ``score``.  ``symbols`` are the lower-cased text's characters in either coding.
 
     Texts are put into slices.  A slice's distinct grams are counted, go to the part of the tree that their contexts' latest symbols name, and come back with their costs.  Only
     contexts of fewer than KEY symbols are on the driver.

@@ -326,14 +326,26 @@ def test_states_grow_with_the_corpus(spark, tmp_path):
     assert few[0] < 1 and many[0] < few[0] + 0.2  # contexts that occur a few times are states in a corpus of any size
 
 
+def test_other_scripts_are_told_apart(spark, tmp_path):
+    words = ["привет", "собака", "молоко", "дорога", "окошко", "берега"]
+    r = random.Random(5)
+    usual = [" ".join(r.choice(words) for _ in range(80)) for _ in range(40)]
+    letters = sorted(set("".join(words)))
+    junk = " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(80))
+    spark.createDataFrame(list(enumerate([*usual, junk])), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["bits_per_symbol"] for r in queries.op4_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[40] > 2 * max(got[i] for i in range(40))
+
+
+@pytest.mark.parametrize("coding", [suffix_tree.CLASSES, suffix_tree.BYTES])
 @pytest.mark.parametrize("slice_chars", [300, 10**6])
-def test_whole_tree_against_brute_force(spark, slice_chars):
+def test_whole_tree_against_brute_force(spark, slice_chars, coding):
     texts = [prose(k, 60) for k in range(6)] + ["", None, "Ünïcode: 12 ☕\tx\n", prose(0, 60)]
-    coding = suffix_tree.CLASSES
-    symbols = [[int(suffix_tree.classes()[ord(c)]) for c in (t or "").lower()] for t in texts]
+    start = 0 if coding is suffix_tree.CLASSES else 10
+    symbols = [[int(suffix_tree.classes()[ord(c)]) for c in (t or "").lower()] if not start else list((t or "").lower().encode()) for t in texts]
     contexts = {}
     for s in symbols:
-        padded = [0] * coding.depth + s
+        padded = [start] * coding.depth + s
         for i in range(len(s)):
             for k in range(coding.depth + 1):
                 contexts.setdefault(tuple(padded[i + coding.depth - k : i + coding.depth]), Counter())[s[i]] += 1
@@ -346,7 +358,7 @@ def test_whole_tree_against_brute_force(spark, slice_chars):
     got = {r["doc_id"]: r for r in suffix_tree.score_all(table(spark, texts), coding, min_count=3, min_bits=0.1, floor=1e-3, slice_chars=slice_chars, part_rows=500).collect()}
     assert len(got) == len(texts) and len(states) > 50
     for i, s in enumerate(symbols):
-        padded, expected = [0] * coding.depth + s, 0.0
+        padded, expected = [start] * coding.depth + s, 0.0
         for j in range(len(s)):
             own = next(c for k in range(coding.depth, -1, -1) if (c := tuple(padded[j + coding.depth - k : j + coding.depth])) in states)
             expected -= math.log2((1 - 2**coding.bits * 1e-3) * contexts[own][s[j]] / sum(contexts[own].values()) + 1e-3)
