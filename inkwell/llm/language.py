@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
@@ -23,6 +23,8 @@ from inkwell.llm import kernel as K
 ORDER = 4
 #: Bound of the labelled sample: documents a language, and characters that such a document has at least.
 DOCS_PER_LANGUAGE, MIN_CHARS = 250, 200
+#: Parts of the sample, each of which is judged by trees of the others.
+FOLDS = 6
 #: A document whose best code takes more bits a byte than this is in none of the languages.
 MAX_BITS = 5.5
 #: A declared language is overruled, and the document rejected, if another one's code is shorter by this many bits a byte.
@@ -92,16 +94,66 @@ class Tree:
         return cost
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, min_chars: int = MIN_CHARS, order: int = ORDER) -> dict[str, Tree]:
+def families(texts: list[str]) -> np.ndarray:
+    """A number for each text; near copies (a quarter of 16 minimum hashes of word triples in common), and near copies of those, have the same."""
+    tokens = K.Tokens(texts)
+    grams, bounds, _ = K.grams(tokens.hash, tokens.bounds, 3)
+    least = np.stack([K.segments(np.minimum, K.mix(grams ^ f), bounds, np.iinfo(np.uint64).max) for f in K.factors(16)], axis=1)
+    out = np.arange(len(texts))
+    for i in range(len(texts)):
+        alike = np.flatnonzero((least[:i] == least[i]).sum(axis=1) >= 4)
+        for j in np.unique(out[alike]):
+            out[out == j] = out[i]
+    return out
+
+
+def purged(spark: SparkSession, sample: pd.DataFrame, order: int, max_bits: float, margin: float) -> pd.DataFrame:
+    """``sample`` (lang, text) without the texts that aren't in the language that they declare.
+
+    A text is judged by trees of other folds than its own; copies and near copies are in one fold.  It goes if another language codes it better, and as well (within ``margin``) as that
+    language's own texts, or if no language codes it in ``max_bits`` while the declared one's texts mostly are.  This is repeated, with trees of what is left, until nothing goes.
+    """
+    sample = sample.sort_values(["lang", "text"], ignore_index=True)
+    sample["fold"] = np.concatenate([np.unique(families(list(own)), return_inverse=True)[1] for _, own in sample.groupby("lang")["text"]]) % FOLDS
+    sample["fold"] = sample.groupby("text")["fold"].transform("min")  # the same text in two languages
+    names = sorted(sample["lang"].unique())
+    while True:
+        sent = spark.sparkContext.broadcast((sample["lang"].to_numpy(), sample["text"].to_numpy(), sample["fold"].to_numpy()))
+
+        def judged(fold: int) -> tuple[np.ndarray, np.ndarray]:
+            lang, text, folds = sent.value  # noqa: B023
+            trees = {n: Tree(list(text[(lang == n) & (folds != fold)]), order) for n in names}
+            own = np.flatnonzero(folds == fold)
+            bits, sizes = code_lengths(list(text[own]), trees)
+            return own, bits / np.maximum(sizes, 1)[:, None]
+
+        each = np.zeros((len(sample), len(names)))
+        for own, found in spark.sparkContext.parallelize(range(FOLDS), FOLDS).map(judged).collect():
+            each[own] = found
+        sent.destroy()
+        said = np.searchsorted(names, sample["lang"])
+        declared = each[np.arange(len(sample)), said]
+        usual = np.array([np.median(declared[said == k]) if (said == k).any() else 8.0 for k in range(len(names))])
+        best = each.argmin(axis=1)
+        low = each[np.arange(len(sample)), best]
+        gone = (low < declared) & (low <= usual[best] + margin) & (low <= max_bits) | (low > max_bits) & (usual[said] <= max_bits)
+        if not gone.any():
+            return sample
+        sample = sample[~gone].reset_index(drop=True)
+
+
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, min_chars: int = MIN_CHARS, order: int = ORDER, max_bits: float = MAX_BITS, margin: float = MARGIN) -> dict[str, Tree]:
     """A tree for each language that ``docs`` declares, from at most ``per_language`` documents each: those with the smallest hashes of their texts.
 
-    Null languages and texts are left out, and copies count once.
+    Null languages and texts are left out, and copies count once.  Texts that are falsely declared, by the other texts, are taken out; a language of which none is left has an
+    empty tree.
     """
     hashed = docs.select(F.col("lang").alias("lang"), "text", F.xxhash64("text").alias("h")).where(F.col("lang").isNotNull() & (F.length("text") >= min_chars))
     # the rank limit is applied before the shuffle too, so few texts move
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
     chosen = hashed.withColumn("k", rank).where(F.col("k") <= per_language).dropDuplicates(["lang", "h"]).select("lang", "text").toPandas()
-    return {lang: Tree(sorted(texts), order) for lang, texts in sorted(chosen.groupby("lang")["text"])}
+    left = purged(docs.sparkSession, chosen, order, max_bits, margin) if len(chosen) else chosen
+    return {lang: Tree(sorted(left.loc[left["lang"] == lang, "text"]), order) for lang in sorted(chosen["lang"].unique())}
 
 
 def code_lengths(texts: list[str], trees: dict[str, Tree]) -> tuple[np.ndarray, np.ndarray]:

@@ -420,6 +420,26 @@ def test_held_out_languages(spark):
     assert all(r["language"] is None and r["keep"] for r in language.identify(odd, {}).collect())
 
 
+def test_false_declarations_in_the_sample(spark):
+    kinds = {"aa": ("ka", "lo", "mi", "ter"), "bb": ("ché", "ou", "ri", "eau")}
+    texts, langs = [], {}
+    for n, (lang, syllables) in enumerate(kinds.items()):
+        for k in range(40):
+            langs[len(texts)] = lang
+            texts.append(prose(1000 * n + k, 80, syllables))
+    false = [prose(5000 + k, 80, kinds["bb"]) for k in range(8)]  # in bb, declared aa
+    false += [near(prose(6000, 80, kinds["bb"]), k, 0.05) for k in range(8)]  # near copies of one
+    false += [texts[45]]  # a copy of one that is declared rightly
+    false += [prose(7000 + k, 80, kinds["bb"]) for k in range(3)]  # all of language dd
+    few = [prose(8000, 80, ("zho", "wiq", "nax", "upf"))]  # a language of its own
+    for k in range(len(false)):
+        langs[80 + k] = "dd" if k >= 17 else "aa"
+    langs[80 + len(false)] = "ee"
+    docs = table(spark, texts + false + few, langs)
+    trees = language.train(docs)
+    assert {r["doc_id"] for r in language.identify(docs, trees).collect() if not r["keep"]} == set(range(80, 80 + len(false)))
+
+
 # 8
 
 
