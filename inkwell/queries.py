@@ -206,6 +206,13 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", F.levenshtein("term", F.lit("thing")).alias("edits"), within(F.col("term"), "thing", 1).alias("within_one")).where("edits <= 3")
 
 
+def edits_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every distinct term, in characters."""
+    _, snapshot = opened(spark, sf_dir, "documents")
+    terms = snapshot.postings.where("field = 'text'").select("term").distinct()
+    return terms.select("term", F.levenshtein("term", F.lit("thing")).alias("edits"), within(F.col("term"), "thing", 1).alias("within_one"))
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", "\n", "\n\n")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length(analysis.summary(text)).alias("bytes"))
@@ -242,7 +249,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f"search_{name}": search(name) for name in SEARCHES}
     own |= {f"docset_{w}": set_operation(w) for w in ("intersect", "union", "subtract")}
-    return own | {"analyze": analyze, "index_postings": postings, "index_statistics": corpus_statistics, "index_lifecycle": lifecycle, "index_stored": stored, "index_dump_postings": dump, "index_segments": segments, "edit_distance": edits, "summary": summaries}
+    return own | {"analyze": analyze, "index_postings": postings, "index_statistics": corpus_statistics, "index_lifecycle": lifecycle, "index_stored": stored, "index_dump_postings": dump, "index_segments": segments, "edit_distance": edits, "edit_distance_all_terms": edits_of_all, "summary": summaries}
 
 
 def oracle_sql() -> dict[str, str]:

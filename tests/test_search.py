@@ -123,3 +123,22 @@ def test_own_analyzer(spark, tmp_path):
     own = Engine(spark, f"file://{tmp_path}/own", Config(analyzer=lambda c: F.split(c, ",")))
     own.index_all(documents.from_literals(spark, [("x", {"f": "One Two,three"}), ("y", {"f": "three,One Two"})]))
     assert set(found(own.search('"One Two,three"'))) == {"x"}
+
+
+def test_edit_distance_of_all_terms(spark, tmp_path):
+    from inkwell.functions.distance import swap_distance
+    from inkwell.queries import queries
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    words = ["thing", "thign", "einä", "chané", "tionè", "üung", "thîng", "th1ng", "привет", "unrelatedword", "物"]
+    spark.createDataFrame([(0, " ".join(words), "xx", "s")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries()["edit_distance_all_terms"](spark, str(tmp_path)).collect()
+    assert {r["term"]: (r["edits"], r["within_one"]) for r in rows} == {w: (plain(w, "thing"), swap_distance(w, "thing") <= 1) for w in words}
