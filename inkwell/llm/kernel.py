@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Code points handled at once.  A single longer text is handled whole.
 CHUNK = 1 << 20
@@ -173,11 +174,22 @@ def list_array(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), values)
 
 
+#: Bytes that a table of fixed-width columns may take in a broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of fixed-width columns, marked for a broadcast if its rows, counted, take at most BROADCAST_BYTES there (16 bytes a column and 32 a row); else as it is."""
+    return F.broadcast(df) if df.count() * (16 * len(df.columns) + 32) <= BROADCAST_BYTES else df
+
+
 def keep(docs: DataFrame, which: Callable[[list[str], pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` that ``which`` marks, with all columns as they are.  It gets the texts and the batch."""
+    """The rows of ``docs`` that ``which`` marks, with all columns, whatever their names, as they are.  It gets the texts and the batch, in which only text and lang have their names."""
+    names = docs.columns
+    own = docs.toDF(*(c if c in ("text", "lang") and names.index(c) == k else f"__{k}" for k, c in enumerate(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield batch.filter(pa.array(np.asarray(which(strings(batch.column("text")), batch), dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*names)

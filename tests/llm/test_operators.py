@@ -83,27 +83,91 @@ def copies():
     return texts + ["a b", "A, b!", "a", "", None, "...", "b a"]
 
 
-def test_t_occurrence_finds_all_pairs():
-    texts = copies()
+def gram_sets(texts):
     t = K.Tokens([x or "" for x in texts])
     values, bounds = K.sets(*K.grams(t.hash, t.bounds, 3)[:2])
-    sets = [values[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+    return [values[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+
+
+def test_t_occurrence_finds_all_pairs():
+    sets = gram_sets(copies())
     for threshold in (0.3, 0.5, 0.8, 1.0):
-        one, other, overlap = ngram_join.t_occurrence(sets, threshold)
+        found = [(q, int(o), int(n)) for q, others, overlaps in ngram_join.matches(sets, threshold) for o, n in zip(others, overlaps, strict=True)]
         expected = {}
         for a in range(len(sets)):
             for b in range(a):
                 both = len(np.intersect1d(sets[a], sets[b]))
                 if both / (len(sets[a]) + len(sets[b]) - both) >= threshold - 1e-12:
                     expected[frozenset((a, b))] = both
-        assert {frozenset((int(a), int(b))): int(n) for a, b, n in zip(one, other, overlap, strict=True)} == expected
+        assert {frozenset((a, b)): n for a, b, n in found} == expected and len(found) == len(expected)
+
+
+@pytest.mark.parametrize("window", [1, 7, 256])
+def test_merge_by_a_heap(window):
+    r = random.Random(window)
+    for _ in range(200):
+        width = r.choice([20, 400])
+        lists = [sorted(r.sample(range(width), r.randint(1, r.choice([3, 20])))) for _ in range(r.randint(1, 12))]
+        keys = np.array([k * 1000 + x for k, own in enumerate(lists) for x in own])
+        end = np.cumsum([len(x) for x in lists])
+        first = end - np.array([len(x) for x in lists])
+        counted = Counter(x for own in lists for x in own)
+        for need in (1, 2, 5, len(lists)):
+            values, times = ngram_join.merge_skip(keys, first, np.arange(len(lists)), end, 1000, need, window)
+            assert list(zip(values.tolist(), times.tolist(), strict=True)) == sorted((x, n) for x, n in counted.items() if n >= need)
+
+
+def brute_classes(texts, ids=None):
+    """(doc_id, class_id, links) of every text."""
+    ids = ids or list(range(len(texts)))
+    sets = [frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if (w := words_of(t)) else None for t in texts]
+    near_ones = [[j for j, b in enumerate(sets) if a and b and i != j and len(a & b) >= 0.5 * len(a | b)] for i, a in enumerate(sets)]
+    least = list(ids)
+    while True:
+        new = [min([least[i], *(least[j] for j in near_ones[i])]) for i in range(len(texts))]
+        if new == least:
+            return {(i, c, len(n)) for i, c, n in zip(ids, least, near_ones, strict=True)}
+        least = new
 
 
-def test_join(spark):
+@pytest.mark.parametrize("part", [ngram_join.PART, 700])
+def test_join(spark, part):
     texts = copies()
+    expected = brute_classes(texts)
+    assert sum(n for _, _, n in expected) > 200
+    rows = [tuple(r) for r in ngram_join.join(table(spark, texts), part=part).collect()]
+    assert set(rows) == expected and len(rows) == len(texts)
+
+
+def test_recall_at_the_threshold(spark):
+    # pairs of nothing but a similarity of 0.5 to 0.6, which bands miss most easily
+    texts = []
+    for k in range(400):
+        words = prose(9000 + k, 120).split()
+        texts += [" ".join(words), " ".join(words[: 81 + k % 8] + prose(19000 + k, 0 if k % 2 else 3).split())]
     expected = brute_pairs(texts)
-    got = {(r["doc_a"], r["doc_b"], r["jaccard"]) for r in ngram_join.join(table(spark, texts)).collect()}
-    assert len(got & expected) >= 0.9 * len(expected) and got <= expected and len(expected) > 100
+    near_threshold = {(a, b) for a, b, j in expected if j < 0.75}
+    got = {r["doc_id"] for r in ngram_join.join(table(spark, texts)).where("links > 0").collect()}
+    assert len(near_threshold) >= 390 and len([p for p in near_threshold if p[0] in got]) >= 0.99 * len(near_threshold)
+
+
+def test_no_task_is_larger_than_two_parts(spark):
+    texts = [near(prose(1, 100), k, 0.02) for k in range(300)]
+    docs, sizes = table(spark, texts), []
+    original = ngram_join.search
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(block, threshold):
+        seen.add(int(len(block) > 80))
+        return original(block, threshold)
+
+    ngram_join.search = counted
+    try:
+        signed, found = ngram_join.related(docs, part=3000)  # about 30 texts
+        sizes = found.collect()
+    finally:
+        ngram_join.search = original
+    assert sizes and seen.value == 0
 
 
 def test_one_of_each(spark):
@@ -570,7 +634,7 @@ def operators(spark, pages=None):
         "language": (lambda d: language.identify(d, language.train(d)), same),
         "language.clean": (lambda d: language.clean(d, language.train(d)), same),
         "token_counts": (lambda d: token_counts.count(d, scratch(d.sparkSession, "c")), same),
-        "join": (ngram_join.join, lambda k: 2 if k else 0),  # (1, 2) and (7, 8)
+        "join": (ngram_join.join, lambda k: 11 if k else 0),  # two rows of 1 are the same, its third has a text of its own; rows without a doc_id have none
         "join.one_of_each": (ngram_join.one_of_each, lambda k: 11 if k else 0),
         "licenses": (licenses.find, lambda k: 0),
     }
