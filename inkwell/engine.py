@@ -22,7 +22,7 @@ class Engine:
         self.store = Index(spark, path, config)
 
     def __getattr__(self, name: str):
-        """Index operations: index, index_all, delete, flush, merge, merge_all, segments, segment_stats, load_doc, dump_postings, dump_deletions, close."""
+        """Index operations: index, index_all, delete, flush, merge, merge_all, segments, segment_stats, load_doc, dump_entries, dump_deletions, close."""
         if name == "store":  # not there before __init__
             raise AttributeError(name)
         return getattr(self.store, name)

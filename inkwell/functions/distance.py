@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,17 +41,20 @@ def swaps(word: str) -> list[str]:
 def within(term: Column, word: str, edits: int) -> Column:
     """Whether ``term`` is at most ``edits`` (0 to 2) from ``word``, swaps of neighbours counting one.
 
-    0 and 1 are built-in expressions.  For 2, ``levenshtein`` with a bound of 4 (a swap is at most two plain edits) leaves few terms to the exact distance.
+    Built-in expressions only.  With a swap, what lies before the swapped pair and what lies after it are equal but for the other edit.
     """
     if edits == 0:
         return term == F.lit(word)
-    plain = F.levenshtein(term, F.lit(word), 2 * edits)
+    near = F.levenshtein(term, F.lit(word), edits) >= 0
     if edits == 1:
-        near = F.levenshtein(term, F.lit(word), 1) >= 0
         return (near | term.isin(swaps(word))) if swaps(word) else near
-
-    @F.pandas_udf("boolean")
-    def exact(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda t: swap_distance(t, word) <= edits)
-
-    return (plain >= 0) & exact(term)  # the built-in part is filtered on before terms go to Python
+    twice = {new for i in range(len(word) - 1) for new in (word[:i] + word[i + 1] + word[i] + tail for tail in [word[i + 2 :], *swaps(word[i + 2 :])])}
+    if twice:
+        near = near | term.isin(sorted(twice))
+    for i in range(len(word) - 1):
+        if word[i] == word[i + 1]:
+            continue
+        head, pair, tail = word[:i], word[i + 1] + word[i], word[i + 2 :]
+        near = near | (term.endswith(pair + tail) & (F.levenshtein(F.left(term, F.length(term) - len(pair + tail)), F.lit(head), 1) >= 0))
+        near = near | (term.startswith(head + pair) & (F.levenshtein(F.substring(term, F.lit(i + 3), F.length(term)), F.lit(tail), 1) >= 0))
+    return near

@@ -1 +1 @@
-"""Search operators: each takes postings and gives a plan, without running it."""
+"""Search operators: each takes a snapshot and gives a plan.  Only regular expressions and fuzzy terms look into the dictionary at once, for the terms to push down."""

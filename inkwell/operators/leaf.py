@@ -15,8 +15,8 @@ ID = "_id"
 FEW_TERMS = 1000
 
 
-def in_field(postings: DataFrame, field: str) -> DataFrame:
-    return postings.where(F.col("field") == field) if field else postings
+def in_field(entries: DataFrame, field: str) -> DataFrame:
+    return entries.where(F.col("field") == field) if field else entries
 
 
 def first_field(hits: DataFrame, field: str) -> DataFrame:
@@ -34,14 +34,14 @@ def term(snapshot: Snapshot, q: Term) -> DataFrame:
     """Exact raw terms.  Ids are searched only as ``_id:``."""
     if q.field == ID:
         return by_id(snapshot, F.col("doc_id") == q.term)
-    return first_field(in_field(snapshot.postings, q.field).where(F.col("term") == q.term), q.field)
+    return first_field(in_field(snapshot.entries, q.field).where(F.col("term") == q.term), q.field)
 
 
 def prefix(snapshot: Snapshot, q: Prefix) -> DataFrame:
     """Terms that begin so; tf is the sum over them.  The empty prefix matches whatever has a token."""
     if q.field == ID:
         return by_id(snapshot, F.col("doc_id").startswith(q.prefix))
-    found = in_field(snapshot.postings, q.field).where(F.col("term").startswith(q.prefix))
+    found = in_field(snapshot.entries, q.field).where(F.col("term").startswith(q.prefix))
     return first_field(found.groupBy("doc_id", "field").agg(F.sum("tf").alias("tf"), F.first("field_len").alias("field_len")), q.field)
 
 
@@ -53,7 +53,7 @@ def phrase(snapshot: Snapshot, q: Phrase) -> DataFrame:
     if q.field == ID:
         return by_id(snapshot, F.lit(False))
     kinds = list(dict.fromkeys(words))
-    own = in_field(snapshot.postings, q.field).where(F.col("term").isin(kinds))
+    own = in_field(snapshot.entries, q.field).where(F.col("term").isin(kinds))
     # one scan and one shuffle for all words: their position lists side by side
     lists = own.groupBy("doc_id", "field").agg(F.first("field_len").alias("field_len"), F.count("*").alias("kinds"), *(F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(kinds)))
     there = F.col("kinds") == len(kinds)
@@ -78,13 +78,13 @@ def phrase_tokens(snapshot: Snapshot, text: str) -> list[str]:
 def expansion(snapshot: Snapshot, field: str, matches: Column) -> DataFrame:
     """Documents with a term of which ``matches`` holds.
 
-    The condition runs over the dictionary, not the postings.  Up to FEW_TERMS matching terms become a pushed-down filter that prunes row groups of the sorted
-    postings; more are joined.  If one of them is in live documents, tf and length count as for a term query; with several, tf is 1 and the length counts only
+    The condition runs over the dictionary, not the entries.  Up to FEW_TERMS matching terms become a pushed-down filter that prunes row groups of the sorted
+    entries; more are joined.  If one of them is in live documents, tf and length count as for a term query; with several, tf is 1 and the length counts only
     within a given field.  How many there are is worked out within the plan.
     """
     if field == ID:
         return by_id(snapshot, F.expr("true")).withColumn("term", F.col("doc_id")).where(matches).drop("term")
-    own = in_field(snapshot.postings, field)
+    own = in_field(snapshot.entries, field)
     terms = in_field(snapshot.terms, field).select("term").distinct().where(matches)
     few = [r["term"] for r in terms.limit(FEW_TERMS + 1).collect()]
     hits = own.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else own.join(terms, "term", "left_semi")
@@ -104,7 +104,6 @@ def valid_regex(snapshot: Snapshot, pattern: str) -> None:
 
 def regex(snapshot: Snapshot, q: Regex) -> DataFrame:
     """Terms that match as a whole, or anywhere in mode "search".  A literal beginning of the pattern is pushed to the scan."""
-    valid_regex(snapshot, q.pattern)
     matches = F.col("term").rlike(rf"\A(?:{q.pattern})\z" if q.mode == "full" else q.pattern)
     if q.mode == "full" and (start := literal_start(q.pattern)):
         matches = F.col("term").startswith(start) & matches

@@ -18,7 +18,7 @@ search <query>                  every hit with its score
 segments                        segments and their sizes
 segment <id> stats              documents, deletions, fields of a segment
 doc <segment> <n>               a stored document
-dump postings <field> <term>    persisted postings of a term
+dump entries <field> <term>     persisted entries of a term
 dump deletions <segment>        deleted documents of a segment
 help, quit, exit"""
 
@@ -93,12 +93,12 @@ class Repl:
 
     def do_dump(self, rest: str) -> str:
         what, *args = rest.split()
-        if what == "postings":
-            rows = self.engine.dump_postings(*args).orderBy("segment_id", "doc_num").toLocalIterator()
-            return "\n".join(f"{r['segment_id']} {r['doc_num']} tf {r['tf']} at {list(r['positions'])}" for r in rows) or "no postings"
+        if what == "entries":
+            rows = self.engine.dump_entries(*args).orderBy("segment_id", "doc_num").toLocalIterator()
+            return "\n".join(f"{r['segment_id']} {r['doc_num']} tf {r['tf']} at {list(r['positions'])}" for r in rows) or "no entries"
         if what == "deletions":
             return "\n".join(f"{r['doc_num']} {r['doc_id']}" for r in self.engine.dump_deletions(*args).orderBy("doc_num").toLocalIterator()) or "no deletions"
-        raise ValueError("dump postings|deletions")
+        raise ValueError("dump entries|deletions")
 
 
 def main() -> None:

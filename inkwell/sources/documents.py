@@ -20,21 +20,20 @@ def from_literals(spark: SparkSession, docs: list[tuple[str, dict]]) -> DataFram
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def from_json(spark: SparkSession, path: str, count: int = 0) -> DataFrame:
-    """A file of [{"ID": ..., "Fields": {...}}, ...]; the first ``count`` of them if it is above 0.  Entries without an ID or fields are left out."""
-    raw = spark.read.option("multiLine", True).schema("ID string, Fields map<string,string>").json(path)
+def from_json(spark: SparkSession, path: str, count: int = 0, lines: bool = False) -> DataFrame:
+    """A file of [{"ID": ..., "Fields": {...}}, ...], or of one such object a line, read once; the first ``count`` of them if it is above 0.  Entries without an ID or fields are left out.
+
+    Values keep their types in what is stored; those that are strings in their own document are searchable.
+    """
+    raw = spark.read.option("multiLine", not lines).schema("ID string, Fields map<string,variant>").json(path)
     raw = raw.limit(count) if count > 0 else raw
-    kinds = spark.read.option("multiLine", True).json(path).schema
-    strings = []
-    if "Fields" in kinds.fieldNames() and isinstance(kinds["Fields"].dataType, T.StructType):
-        strings = [f.name for f in kinds["Fields"].dataType.fields if isinstance(f.dataType, T.StringType)]
-    picked = F.map_filter("Fields", lambda k, v: k.isin(strings) & v.isNotNull())
-    return raw.where("ID IS NOT NULL AND Fields IS NOT NULL").select(F.col("ID").alias("doc_id"), F.to_json("Fields").alias("stored"), picked.alias("fields"))
+    texts = F.map_filter("Fields", lambda k, v: F.schema_of_variant(v) == "STRING")
+    return raw.where("ID IS NOT NULL AND Fields IS NOT NULL").select(F.col("ID").alias("doc_id"), F.to_json("Fields").alias("stored"), F.transform_values(texts, lambda k, v: F.variant_get(v, "$", "string")).alias("fields"))
 
 
 def to_json(docs: DataFrame, path: str) -> None:
-    """Writes documents in the form that ``from_json`` reads, one object a line."""
-    docs.select(F.col("doc_id").alias("ID"), F.from_json("stored", "map<string,string>").alias("Fields")).write.mode("overwrite").json(path)
+    """Writes documents in the form that ``from_json`` reads with ``lines``."""
+    docs.select(F.to_json(F.struct(F.col("doc_id").alias("ID"), F.parse_json("stored").alias("Fields")))).write.mode("overwrite").text(path)
 
 
 def from_table(df: DataFrame, key: str | list[str], fields: list[str] | None = None) -> DataFrame:

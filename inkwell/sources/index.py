@@ -2,32 +2,44 @@
 
     <path>/segments/<id>/docs       (doc_num, doc_id, stored)
     <path>/segments/<id>/lengths    (doc_id, field, field_len)
-    <path>/segments/<id>/postings   (term, doc_id, tf, positions, field_len), by field, in the order of terms
+    <path>/segments/<id>/entries    (term, doc_id, tf, positions, field_len), by field, in the order of terms and documents
     <path>/segments/<id>/terms      (field, term, docs): the dictionary, deleted documents included
     <path>/deletes/<epoch>          (segment_id, doc_id)
-    <path>/manifest/<epoch>.json    the segments and delete folders of the epoch
+    <path>/manifest/<epoch>.json    the segments, with their statistics, and delete folders of the epoch
 
 A snapshot is a set of DataFrames over the files that one manifest names; nothing that it reads is ever changed.  A manifest appears by a rename, so a job that dies
-leaves the epoch before it in force.
+leaves the epoch before it in force.  What scoring needs to know of a segment is counted when it is written and kept in the manifest, so a search starts no job for it.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import analysis
 from inkwell.functions.scoring import Scoring
 from inkwell.sources import documents
-from inkwell.sources.shared import exists, hadoop_fs, remove
+from inkwell.sources.shared import checkpointed, exists, hadoop_fs, remove
 
-POSTINGS = "field string, term string, doc_id string, tf bigint, positions array<int>, field_len bigint"
+ENTRIES = "field string, term string, doc_id string, tf bigint, positions array<int>, field_len bigint"
 TERMS = "field string, term string, docs bigint"
 LENGTHS = "doc_id string, field string, field_len bigint"
 DOCS = "doc_num bigint, doc_id string, stored string"
+WORDS = "doc_id string, field string, words array<string>"
+DELETES = "segment_id string, doc_id string"
+
+
+class ConflictError(RuntimeError):
+    """Two writers made the same epoch; the one that gets this has changed nothing."""
+
+
+def folder(epoch: int) -> str:
+    """A new folder's name: in the order of epochs, and no other writer's."""
+    return f"{epoch:012d}-{uuid.uuid4().hex[:8]}"
 
 
 @dataclass
@@ -42,20 +54,72 @@ def long_form(docs: DataFrame, analyzer: analysis.Analyzer) -> DataFrame:
     return docs.select("doc_id", F.explode("fields").alias("field", "text")).select("doc_id", "field", analyzer(F.col("text")).alias("words"))
 
 
-def inverted(docs: DataFrame, analyzer: analysis.Analyzer) -> DataFrame:
-    """The postings of ``docs``: one shuffle, by (field, term, document)."""
-    words = long_form(docs, analyzer).select("doc_id", "field", F.size("words").cast("bigint").alias("field_len"), F.posexplode("words").alias("pos", "term"))
-    return words.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("field_len").alias("field_len"))
+def inverted(words: DataFrame) -> DataFrame:
+    """The entries of ``words`` (as of ``long_form``), within each row: nothing is shuffled.
+
+    A field's (term, position) pairs are sorted; where the term changes an entry starts.
+    """
+    placed = words.where(F.size("words") > 0).select("doc_id", "field", F.size("words").alias("n"), F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))).alias("s"))
+    # by transform: s.term would be put in wherever t is used, and taken from the whole array again for each word
+    terms = placed.select("doc_id", "field", "n", F.transform("s", lambda x: x["term"]).alias("t"), F.transform("s", lambda x: x["pos"]).alias("p"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    started = terms.select("*", starts.alias("starts"))
+
+    def entry(start: Column, k: Column) -> Column:
+        last = F.coalesce(F.get("starts", k + 1), F.col("n")) - 1
+        return F.struct(F.get("t", start).alias("term"), (last - start + 1).cast("bigint").alias("tf"), F.transform(F.sequence(start, last), lambda i: F.get("p", i)).alias("positions"))
+
+    return started.select("doc_id", "field", F.col("n").cast("bigint").alias("field_len"), F.explode(F.transform("starts", entry)).alias("e")).select("field", "e.term", "doc_id", "e.tf", "e.positions", "field_len")
+
+
+def lengths(words: DataFrame) -> DataFrame:
+    return words.select("doc_id", "field", F.size("words").cast("bigint").alias("field_len"))
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """One row for each id, that of the greatest ``stored``; rows without an id are left out.  Only ids are shuffled, and the rows whose ids are repeated."""
+    docs = docs.where("doc_id IS NOT NULL")
+    repeated = checkpointed(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return docs
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("stored").desc()))
+    chosen = docs.join(repeated, "doc_id", "left_semi").withColumn("__k", rank).where("__k = 1").drop("__k")
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(chosen)
+
+
+@dataclass
+class Segment:
+    """What the manifest says of a segment: documents; how many of them are deleted; by field, (tokens, documents with a token) as of when it was written."""
+
+    docs: int = 0
+    deleted: int = 0
+    fields: dict[str, list[int]] = field(default_factory=dict)
+
+    def live(self) -> int:
+        return self.docs - self.deleted
+
+
+def averages(parts: list[tuple[Segment, int]]) -> dict[str, float]:
+    """The average length by field of (segment, live documents): each segment's own average, as written, is weighted with its live documents and cut to whole tokens."""
+    sums: dict[str, list[int]] = {}
+    for segment, live in parts:
+        for name, (tokens, docs) in segment.fields.items():
+            if docs:
+                own = sums.setdefault(name, [0, 0])
+                own[0] += int(tokens / docs * live)
+                own[1] += live
+    return {name: tokens / docs if docs else 0.0 for name, (tokens, docs) in sums.items()}
 
 
-def lengths(docs: DataFrame, analyzer: analysis.Analyzer) -> DataFrame:
-    return long_form(docs, analyzer).select("doc_id", "field", F.size("words").cast("bigint").alias("field_len"))
+def field_counts(lengths: DataFrame) -> dict[str, list[int]]:
+    rows = lengths.groupBy("field").agg(F.coalesce(F.sum("field_len"), F.lit(0)).alias("tokens"), F.count_if(F.col("field_len") > 0).alias("docs")).collect()
+    return {r["field"]: [r["tokens"], r["docs"]] for r in rows}
 
 
 @dataclass
 class Manifest:
     epoch: int = 0
-    segments: list[str] = field(default_factory=list)
+    segments: dict[str, Segment] = field(default_factory=dict)
     deletes: list[str] = field(default_factory=list)
 
 
@@ -66,10 +130,14 @@ class Snapshot:
     spark: SparkSession
     docs: DataFrame  # segment_id, doc_num, doc_id, stored: live documents
     lengths: DataFrame
-    postings: DataFrame
+    entries: DataFrame
     terms: DataFrame  # field, term, docs: a superset of the live dictionary
     config: Config
     epoch: int = 0
+    segments: dict[str, Segment] = field(default_factory=dict)
+    held: DataFrame | None = None  # (doc_id, field, field_len) of documents that wait, and how many they are
+    held_docs: int = 0
+    gone: DataFrame | None = None  # (segment_id) of each flushed document that a waiting change makes obsolete
     cached: dict = field(default_factory=dict)
 
     def total(self) -> int:
@@ -77,16 +145,17 @@ class Snapshot:
         return self.statistics()[0]
 
     def average(self, name: str) -> float:
-        """The average length of a field: each segment's average is over its documents that have the field, weighted with all its documents, cut to whole tokens."""
+        """The average length of a field: each segment's average, as of when it was written, is over its documents that have the field; it is weighted with all its live documents, cut to whole tokens."""
         return self.statistics()[1].get(name, 0.0)
 
     def statistics(self) -> tuple[int, dict[str, float]]:
-        """(documents, average length by field); computed once for a snapshot, in one job a figure."""
+        """(documents, average length by field): from the manifest.  Only documents and deletes that wait are counted, once for a snapshot."""
         if not self.cached:
-            live = self.docs.groupBy("segment_id").agg(F.count("*").alias("live"))
-            by = self.lengths.where("field_len > 0").groupBy("segment_id", "field").agg(F.sum("field_len").alias("n"), F.count("*").alias("own"))
-            rows = by.join(live, "segment_id").withColumn("tokens", F.floor(F.col("n") * F.col("live") / F.col("own"))).groupBy("field").agg((F.sum("tokens") / F.sum("live")).alias("average")).collect()
-            self.cached |= {"total": self.docs.count(), "average": {r["field"]: float(r["average"]) for r in rows}}
+            gone = {r[0]: r[1] for r in self.gone.groupBy("segment_id").count().collect()} if self.gone is not None else {}
+            parts = [(s, s.live() - gone.get(name, 0)) for name, s in self.segments.items()]
+            if self.held is not None:
+                parts.append((Segment(self.held_docs, 0, field_counts(self.held)), self.held_docs))
+            self.cached |= {"total": sum(live for _, live in parts), "average": averages(parts)}
         return self.cached["total"], self.cached["average"]
 
     def fields(self) -> list[str]:
@@ -112,15 +181,20 @@ class Index:
         if not epochs:
             return Manifest()
         text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest/{max(epochs):012d}.json").first()[0]
-        return Manifest(**json.loads(text))
+        read = json.loads(text)
+        return Manifest(read["epoch"], {name: Segment(**s) for name, s in read["segments"].items()}, read["deletes"])
 
     def _commit(self, manifest: Manifest) -> None:
+        """Puts ``manifest`` in force; an error if another writer has made that epoch, or if the rename fails."""
         name = f"{self.path}/manifest/{manifest.epoch:012d}"
-        fs, draft = hadoop_fs(self.spark, name + ".draft")
+        fs, draft = hadoop_fs(self.spark, f"{name}.{uuid.uuid4().hex}.draft")
+        final = hadoop_fs(self.spark, name + ".json")[1]
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest.__dict__).encode()))
+        out.write(bytearray(json.dumps(asdict(manifest)).encode()))
         out.close()
-        fs.rename(draft, hadoop_fs(self.spark, name + ".json")[1])
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise ConflictError(f"epoch {manifest.epoch} of {self.path} could not be committed: another writer was first, or the rename failed")
         self.manifest = manifest
 
     # writing
@@ -136,8 +210,7 @@ class Index:
     def index_all(self, docs: DataFrame) -> None:
         """Adds or replaces all of ``docs`` (doc_id, stored, fields) as one segment, after what waits.  Of rows with one id, that of the greatest ``stored`` stays."""
         self.flush()
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("stored").desc()))
-        self._write(docs.where("doc_id IS NOT NULL").withColumn("__k", rank).where("__k = 1").drop("__k"), None)
+        self._write(one_each(docs), None)
 
     def delete(self, *doc_ids: str) -> None:
         """Unknown ids are no error."""
@@ -156,31 +229,48 @@ class Index:
     def _write(self, docs: DataFrame | None, gone: DataFrame | None) -> None:
         """A new epoch: ``docs`` as a segment (None: none), and deletes of ``gone``, by default of the ids of ``docs``, in earlier segments."""
         epoch = self.manifest.epoch + 1
-        new = Manifest(epoch, list(self.manifest.segments), list(self.manifest.deletes))
+        name = folder(epoch)
+        new = Manifest(epoch, {name: Segment(**asdict(s)) for name, s in self.manifest.segments.items()}, list(self.manifest.deletes))
         if docs is not None:
-            self._write_segment(docs, f"{epoch:012d}")
-            gone = self.spark.read.schema(DOCS).parquet(f"{self.path}/segments/{epoch:012d}/docs").select("doc_id") if gone is None else gone
+            written = self._write_segment(docs, name)
+            gone = self.spark.read.schema(DOCS).parquet(f"{self.path}/segments/{name}/docs").select("doc_id") if gone is None else gone
         if gone is not None and self.manifest.segments:
             # only live versions are marked, each once
-            self._docs(self.manifest).join(gone.distinct(), "doc_id", "left_semi").select("segment_id", "doc_id").write.mode("overwrite").parquet(f"{self.path}/deletes/{epoch:012d}")
-            new.deletes.append(f"{epoch:012d}")
+            at = f"{self.path}/deletes/{name}"
+            self._docs(self.manifest).join(gone.distinct(), "doc_id", "left_semi").select("segment_id", "doc_id").write.mode("overwrite").parquet(at)
+            for r in self.spark.read.schema(DELETES).parquet(at).groupBy("segment_id").count().collect():
+                new.segments[r[0]].deleted += r[1]
+            new.deletes.append(name)
         if docs is not None:
-            new.segments.append(f"{epoch:012d}")
+            new.segments[name] = written
         self._commit(new)
 
-    def _write_segment(self, docs: DataFrame, name: str) -> None:
+    def _write_segment(self, docs: DataFrame, name: str) -> Segment:
+        """Writes the files; each text is analyzed once."""
         at = f"{self.path}/segments/{name}"
         docs.select(F.monotonically_increasing_id().alias("doc_num"), "doc_id", "stored", "fields").write.mode("overwrite").parquet(f"{at}/source")
-        own = self.spark.read.parquet(f"{at}/source")
+        own = self.spark.read.schema(DOCS + ", fields map<string,string>").parquet(f"{at}/source")
         own.select("doc_num", "doc_id", "stored").write.mode("overwrite").parquet(f"{at}/docs")
-        lengths(own, self.config.analyzer).write.mode("overwrite").parquet(f"{at}/lengths")
-        # range partitions in the order of terms: row-group statistics answer term and prefix lookups
-        inverted(own, self.config.analyzer).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+        long_form(own, self.config.analyzer).write.mode("overwrite").parquet(f"{at}/words")
+        words = self.spark.read.schema(WORDS).parquet(f"{at}/words")
+        lengths(words).write.mode("overwrite").parquet(f"{at}/lengths")
+        # written first as they come: the ranges are sampled from the keys of that, not from texts inverted once more
+        inverted(words).write.mode("overwrite").parquet(f"{at}/unsorted")
+        self._write_entries(self.spark.read.schema(ENTRIES).parquet(f"{at}/unsorted"), at)
         self._write_terms(at)
-        remove(self.spark, f"{at}/source")
+        for part in ("source", "words", "unsorted"):
+            remove(self.spark, f"{at}/{part}")
+        return self._counted(at)
+
+    def _counted(self, at: str) -> Segment:
+        return Segment(self.spark.read.schema(DOCS).parquet(f"{at}/docs").count(), 0, field_counts(self.spark.read.schema(LENGTHS).parquet(f"{at}/lengths")))
+
+    def _write_entries(self, entries: DataFrame, at: str) -> None:
+        """Range partitions in the order of terms: row-group statistics answer term and prefix lookups.  Documents are part of the order, so a frequent term is spread over partitions and files."""
+        entries.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/entries")
 
     def _write_terms(self, at: str) -> None:
-        written = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("field", "term").agg(F.count("*").alias("docs"))
+        written = self.spark.read.schema(ENTRIES).parquet(f"{at}/entries").groupBy("field", "term").agg(F.count("*").alias("docs"))
         written.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
 
     # reading
@@ -199,7 +289,7 @@ class Index:
     def _gone(self, manifest: Manifest) -> DataFrame | None:
         if not manifest.deletes:
             return None
-        return self.spark.read.schema("segment_id string, doc_id string").parquet(*(f"{self.path}/deletes/{d}" for d in manifest.deletes))
+        return self.spark.read.schema(DELETES).parquet(*(f"{self.path}/deletes/{d}" for d in manifest.deletes))
 
     def _live(self, df: DataFrame, manifest: Manifest) -> DataFrame:
         gone = self._gone(manifest)
@@ -213,21 +303,25 @@ class Index:
         m, spark = self.manifest, self.spark
         docs = self._union([self._segment(s, "docs", DOCS) for s in m.segments], DOCS)
         own_lengths = self._union([self._segment(s, "lengths", LENGTHS) for s in m.segments], LENGTHS)
-        postings = self._union([self._segment(s, "postings", POSTINGS) for s in m.segments], POSTINGS)
+        entries = self._union([self._segment(s, "entries", ENTRIES) for s in m.segments], ENTRIES)
         terms = self._union([self._segment(s, "terms", TERMS) for s in m.segments], TERMS)
-        docs, own_lengths, postings = (self._live(x, m) for x in (docs, own_lengths, postings))
+        docs, own_lengths, entries = (self._live(x, m) for x in (docs, own_lengths, entries))
+        gone = held_lengths = None
         if self.gone and m.segments:
             ids = spark.createDataFrame([(i,) for i in sorted(self.gone)], "doc_id string")
-            docs, own_lengths, postings = (x.join(ids, "doc_id", "left_anti") for x in (docs, own_lengths, postings))
+            gone = docs.join(ids, "doc_id", "left_semi").select("segment_id")
+            docs, own_lengths, entries = (x.join(ids, "doc_id", "left_anti") for x in (docs, own_lengths, entries))
         if self.held:
             head = documents.from_literals(spark, list(self.held.items()))
             live = F.lit("").alias("segment_id")
             docs = docs.unionByName(head.select(F.monotonically_increasing_id().alias("doc_num"), "doc_id", "stored", live))
-            own_lengths = own_lengths.unionByName(lengths(head, self.config.analyzer).select("*", live))
-            own = inverted(head, self.config.analyzer)
-            postings = postings.unionByName(own.select("*", live))
+            words = long_form(head, self.config.analyzer)
+            held_lengths = lengths(words)
+            own_lengths = own_lengths.unionByName(held_lengths.select("*", live))
+            own = inverted(words)
+            entries = entries.unionByName(own.select("*", live))
             terms = terms.unionByName(own.groupBy("field", "term").agg(F.count("*").alias("docs")).select("*", live))
-        return Snapshot(spark, docs, own_lengths, postings, terms, self.config, m.epoch)
+        return Snapshot(spark, docs, own_lengths, entries, terms, self.config, m.epoch, m.segments, held_lengths, len(self.held), gone)
 
     # maintenance and inspection
 
@@ -240,13 +334,14 @@ class Index:
             raise ValueError(f"no segment {missing[0]}")
         m = self.manifest
         epoch = m.epoch + 1
-        name, at = f"{epoch:012d}", f"{self.path}/segments/{epoch:012d}"
-        for part, schema in (("docs", DOCS), ("lengths", LENGTHS), ("postings", POSTINGS)):
+        name = folder(epoch)
+        at = f"{self.path}/segments/{name}"
+        for part, schema in (("docs", DOCS), ("lengths", LENGTHS), ("entries", ENTRIES)):
             live = self._live(self._union([self._segment(s, part, schema) for s in names], schema), m).drop("segment_id")
             if part == "docs":
                 live = live.withColumn("doc_num", F.monotonically_increasing_id())
-            if part == "postings":
-                live.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/{part}")
+            if part == "entries":
+                self._write_entries(live, at)
             else:
                 live.write.mode("overwrite").parquet(f"{at}/{part}")
         self._write_terms(at)
@@ -256,12 +351,12 @@ class Index:
             rest = gone.where(~F.col("segment_id").isin(names))
             rest.write.mode("overwrite").parquet(f"{self.path}/deletes/{name}")
             deletes = [name]
-        self._commit(Manifest(epoch, [s for s in m.segments if s not in names] + [name], deletes))
+        self._commit(Manifest(epoch, {k: s for k, s in m.segments.items() if k not in names} | {name: self._counted(at)}, deletes))
         return name
 
     def merge_all(self) -> str | None:
         """Merges all segments; with fewer than two nothing happens."""
-        return self.merge(self.manifest.segments) if len(self.manifest.segments) > 1 else None
+        return self.merge(list(self.manifest.segments)) if len(self.manifest.segments) > 1 else None
 
     def vacuum(self) -> None:
         """Removes the files that the present manifest doesn't name.  Snapshots of earlier epochs can't be read after that."""
@@ -276,22 +371,18 @@ class Index:
         return len(self.manifest.segments)
 
     def segments(self) -> DataFrame:
-        """(segment_id, num_docs, num_deleted) of each segment."""
-        docs = self._union([self._segment(s, "docs", DOCS) for s in self.manifest.segments], DOCS)
-        out = docs.groupBy("segment_id").agg(F.count("*").alias("num_docs"))
-        gone = self._gone(self.manifest)
-        if gone is None:
-            return out.withColumn("num_deleted", F.lit(0).cast("bigint"))
-        return out.join(gone.groupBy("segment_id").agg(F.count("*").alias("num_deleted")), "segment_id", "left").fillna(0, ["num_deleted"])
+        """(segment_id, num_docs, num_deleted) of each segment, from the manifest."""
+        rows = [(name, s.docs, s.deleted) for name, s in self.manifest.segments.items()]
+        return self.spark.createDataFrame(rows, "segment_id string, num_docs bigint, num_deleted bigint")
 
     def segment_stats(self, name: str) -> dict:
-        """num_docs, num_deleted, fields, size_bytes of a segment."""
+        """path, num_docs, num_deleted, fields, average length by field as of when it was written, size_bytes of a segment."""
         if name not in self.manifest.segments:
             raise ValueError(f"no segment {name}")
-        row = self.segments().where(F.col("segment_id") == name).first()
+        own = self.manifest.segments[name]
         fs, where = hadoop_fs(self.spark, f"{self.path}/segments/{name}")
-        fields = sorted(r[0] for r in self._segment(name, "lengths", LENGTHS).select("field").distinct().collect())
-        return {"num_docs": row["num_docs"] if row else 0, "num_deleted": row["num_deleted"] if row else 0, "fields": fields, "size_bytes": fs.getContentSummary(where).getLength()}
+        average = {f: tokens / docs if docs else 0.0 for f, (tokens, docs) in sorted(own.fields.items())}
+        return {"path": f"{self.path}/segments/{name}", "num_docs": own.docs, "num_deleted": own.deleted, "fields": sorted(own.fields), "average": average, "size_bytes": fs.getContentSummary(where).getLength()}
 
     def load_doc(self, name: str, doc_num: int) -> dict | None:
         """A stored document, deleted or not."""
@@ -308,11 +399,11 @@ class Index:
         row = self._segment(name, "docs", DOCS).where(F.col("doc_num") == doc_num).select("doc_id").first()
         return row[0] if row else None
 
-    def dump_postings(self, field_name: str, term: str) -> DataFrame:
+    def dump_entries(self, field_name: str, term: str) -> DataFrame:
         """(segment_id, doc_num, doc_id, tf, positions) as persisted: with deleted documents, without those that wait."""
-        postings = self._union([self._segment(s, "postings", POSTINGS) for s in self.manifest.segments], POSTINGS)
+        entries = self._union([self._segment(s, "entries", ENTRIES) for s in self.manifest.segments], ENTRIES)
         docs = self._union([self._segment(s, "docs", DOCS) for s in self.manifest.segments], DOCS)
-        found = postings.where((F.col("field") == field_name) & (F.col("term") == term))
+        found = entries.where((F.col("field") == field_name) & (F.col("term") == term))
         return found.join(docs, ["segment_id", "doc_id"]).select("segment_id", "doc_num", "doc_id", "tf", "positions")
 
     def dump_deletions(self, name: str) -> DataFrame:

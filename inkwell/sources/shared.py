@@ -6,6 +6,7 @@ is read again goes there, so a lost executor never takes the only copy of a resu
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session.  Only where none is set (tests, a laptop) one is made under the temp dir."""
+    """The shared folder of this session.  Only in local mode (tests, a laptop), where none is set, one is made under the temp dir; on a cluster that is an error, as executors couldn't reach it."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
         named = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -37,9 +40,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: lineage ends here."""
+    """``df`` written once as Parquet in the shared folder and read back: lineage ends here.  The table goes when the driver ends."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +54,12 @@ def hadoop_fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has the file system remove ``path``, which is there already, when the driver's JVM ends: whatever reads it lazily can until then."""
+    fs, where = hadoop_fs(spark, path)
+    fs.deleteOnExit(where)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = hadoop_fs(spark, path)
     return fs.exists(where)

@@ -22,19 +22,142 @@ DOCS = {
     "b1": {"title": "Nothing", "body": 5, "tags": None},
 }
 
+#: Queries and the ids that each finds, by hand.
 QUERIES = {
-    "term": ["cold", "salt", "Salt", "42", "nosuch", "river", "bend", "café", "cafe"],
-    "field": ["title:cold", "body:cold", "tags:food", "title: bread", "tags:travel", "nofield:cold", "_id:a3", "_id:zz"],
-    "phrase": ['"cold bread"', '"the sea"', '"SILK roads"', 'title:"salt roads"', 'body:"salt roads"', '"silk silk"', '"sea and"', '""', '"!"', '"Bread"', '"and the sea is cold"', 'tags:"food sweet"'],
-    "prefix": ["riv*", "s*", "title:s*", "*", "sal*", "zzz*", "tags:tra*", "café*"],
-    "and": ["cold AND north", "cold north", "bread home", "cold AND nosuch", "salt AND silk AND south", "title:bread body:bread", "cold AND cold", '"cold bread" AND home', "riv* AND north", "food AND (cold)"],
-    "or": ["salt OR silk", "nosuch OR bread", "salt OR silk OR bread", "nosuch OR nothere", "title:silk OR tags:food", '"the sea" OR ship*'],
-    "not": ["cold NOT bread", "cold -north", "NOT bread cold", "cold -body:bread", "food NOT (cold OR bread)", 'cold -"cold bread"', "cold -s*", "salt -salt", "cold NOT nosuch", "cold -north -sea", "-bread cold", "cold AND NOT desert", "food -tags:food"],
-    "grouped": ["(salt OR silk) AND north", "(cold) bread", "((cold))", "(salt AND silk) OR (bread AND home)", "(cold OR salt) (north OR desert)", "(salt OR bread) NOT north", "(a OR the) AND -cold AND -salt", "(title:silk OR title:bread) cold", "(bread)"],
-    "mixed": ['title:cold OR (body:"salt to" AND tags:travel)', 'food AND (cold OR "no more") -title:home', "sea* OR (roads NOT silk)", 'cold AND ("the sea" OR desert) -tags:history', "/s[ai].*/ AND north", "shpi~1 OR silk", "bread~1 -cold", "(/riv.*/ OR salt) AND travel", "title:/s.*/ cold", "body:ships~2 NOT bread", "water (riv* OR \"and salt\")"],
-    "regex": ["/s[ai]l.*/", "/silk/", "body:/[0-9]+/", "/nosuch.*/", "/(cold|salt)/", "title:/[a-z]+d/", "/old/", "/caf./"],
-    "fuzzy": ["slik~1", "slik~2", "ship~1", "bred~", "bread~0", "nosuchword~2", "title:shpi~1", "body:shpi~1", "café~1", "cod~1"],
-    "edge": ["", "   ", "and", "a-b", "zz OR zz", "sea sea sea"],
+    "term": {
+        'cold': 'a1 a4 a5 a6 a7',
+        'salt': 'a2 a3',
+        'Salt': '',
+        '42': 'a8',
+        'nosuch': '',
+        'river': 'a1 a8',
+        'bend': 'a8',
+        'café': 'a6',
+        'cafe': '',
+    },
+    "field": {
+        'title:cold': 'a5',
+        'body:cold': 'a1 a4 a5 a6 a7',
+        'tags:food': 'a2 a5 a6',
+        'title: bread': 'a2 a5',
+        'tags:travel': 'a1 a3',
+        'nofield:cold': '',
+        '_id:a3': 'a3',
+        '_id:zz': '',
+    },
+    "phrase": {
+        '"cold bread"': 'a5',
+        '"the sea"': 'a7',
+        '"SILK roads"': 'a4',
+        'title:"salt roads"': 'a3',
+        'body:"salt roads"': '',
+        '"silk silk"': 'a4',
+        '"sea and"': 'a7',
+        '""': '',
+        '"!"': '',
+        '"Bread"': 'a2 a5 a9',
+        '"and the sea is cold"': 'a7',
+        'tags:"food sweet"': 'a6',
+    },
+    "prefix": {
+        'riv*': 'a1 a8',
+        's*': 'a2 a3 a4 a6 a7 a8 a9',
+        'title:s*': 'a3 a4 a9',
+        '*': 'a1 a2 a3 a4 a5 a6 a7 a8 a9 b1',
+        'sal*': 'a2 a3',
+        'zzz*': '',
+        'tags:tra*': 'a1 a3 a9',
+        'café*': 'a6',
+    },
+    "and": {
+        'cold AND north': 'a1',
+        'cold north': 'a1',
+        'bread home': 'a2 a5',
+        'cold AND nosuch': '',
+        'salt AND silk AND south': 'a3',
+        'title:bread body:bread': 'a2 a5',
+        'cold AND cold': 'a1 a4 a5 a6 a7',
+        '"cold bread" AND home': 'a5',
+        'riv* AND north': 'a1',
+        'food AND (cold)': 'a5 a6',
+    },
+    "or": {
+        'salt OR silk': 'a2 a3 a4',
+        'nosuch OR bread': 'a2 a5 a9',
+        'salt OR silk OR bread': 'a2 a3 a4 a5 a9',
+        'nosuch OR nothere': '',
+        'title:silk OR tags:food': 'a2 a4 a5 a6',
+        '"the sea" OR ship*': 'a7 a8 a9',
+    },
+    "not": {
+        'cold NOT bread': 'a1 a4 a6 a7',
+        'cold -north': 'a4 a5 a6 a7',
+        'NOT bread cold': 'a1 a4 a6 a7',
+        'cold -body:bread': 'a1 a4 a6 a7',
+        'food NOT (cold OR bread)': '',
+        'cold -"cold bread"': 'a1 a4 a6 a7',
+        'cold -s*': 'a1 a5',
+        'salt -salt': '',
+        'cold NOT nosuch': 'a1 a4 a5 a6 a7',
+        'cold -north -sea': 'a4 a5 a6',
+        '-bread cold': 'a1 a4 a6 a7',
+        'cold AND NOT desert': 'a1 a6 a7',
+        'food -tags:food': '',
+    },
+    "grouped": {
+        '(salt OR silk) AND north': 'a3',
+        '(cold) bread': 'a5',
+        '((cold))': 'a1 a4 a5 a6 a7',
+        '(salt AND silk) OR (bread AND home)': 'a2 a3 a5',
+        '(cold OR salt) (north OR desert)': 'a1 a3 a4 a5',
+        '(salt OR bread) NOT north': 'a2 a5 a9',
+        '(a OR the) AND -cold AND -salt': 'a9',
+        '(title:silk OR title:bread) cold': 'a4 a5',
+        '(bread)': 'a2 a5 a9',
+    },
+    "mixed": {
+        'title:cold OR (body:"salt to" AND tags:travel)': 'a3 a5',
+        'food AND (cold OR "no more") -title:home': 'a5 a6',
+        'sea* OR (roads NOT silk)': 'a7 a8',
+        'cold AND ("the sea" OR desert) -tags:history': 'a5 a7',
+        '/s[ai].*/ AND north': 'a3',
+        'shpi~1 OR silk': 'a3 a4 a7 a9',
+        'bread~1 -cold': 'a2 a9',
+        '(/riv.*/ OR salt) AND travel': 'a1 a3',
+        'title:/s.*/ cold': 'a4',
+        'body:ships~2 NOT bread': 'a7 a8',
+        'water (riv* OR "and salt")': 'a1 a2',
+    },
+    "regex": {
+        '/s[ai]l.*/': 'a2 a3 a4',
+        '/silk/': 'a3 a4',
+        'body:/[0-9]+/': 'a8',
+        '/nosuch.*/': '',
+        '/(cold|salt)/': 'a1 a2 a3 a4 a5 a6 a7',
+        'title:/[a-z]+d/': 'a2 a5 a8 a9',
+        '/old/': 'a3',
+        '/caf./': 'a6',
+    },
+    "fuzzy": {
+        'slik~1': 'a3 a4',
+        'slik~2': 'a3 a4 a7',
+        'ship~1': 'a7 a8 a9',
+        'bred~': 'a2 a5 a9',
+        'bread~0': 'a2 a5 a9',
+        'nosuchword~2': '',
+        'title:shpi~1': 'a9',
+        'body:shpi~1': 'a7',
+        'café~1': 'a6',
+        'cod~1': 'a1 a4 a5 a6 a7',
+    },
+    "edge": {
+        '': '',
+        '   ': '',
+        'and': 'a2 a3 a4 a6 a7 a8',
+        'a-b': '',
+        'zz OR zz': '',
+        'sea sea sea': 'a7',
+    },
 }
 
 
@@ -47,7 +170,7 @@ class Brute:
         self.average = {}
         for f in {f for d in self.docs.values() for f in d}:
             own = [len(d[f]) for d in self.docs.values() if d.get(f)]
-            self.average[f] = math.floor(sum(own) * self.total / len(own)) / self.total if own else 0.0
+            self.average[f] = math.floor(sum(own) / len(own) * self.total) / self.total if own else 0.0
 
     def words(self, q: Regex | Fuzzy) -> set[str]:
         vocabulary = {w for d in self.docs.values() for f, ws in d.items() if q.field in ("", f) for w in ws}

@@ -9,7 +9,7 @@ from inkwell.engine import Engine
 from inkwell.plans.parser import parse
 from inkwell.repl import Repl
 from inkwell.sources import documents
-from inkwell.sources.index import Config
+from inkwell.sources.index import Config, ConflictError
 from inkwell.streaming.ingest import into
 
 
@@ -53,8 +53,8 @@ def test_life_of_an_index(spark, engine, tmp_path):
     first = min(stats)
     assert again.segment_stats(first)["fields"] == ["body", "tags", "title"] and again.segment_stats(first)["size_bytes"] > 0
     assert ids(again.dump_deletions(first)) == ["a1", "a5"]
-    assert "a5" in ids(again.dump_postings("body", "bread"))  # persisted postings keep deleted documents
-    number = again.dump_postings("body", "silk").where("doc_id = 'a4'").first()
+    assert "a5" in ids(again.dump_entries("body", "bread"))  # persisted entries keep deleted documents
+    number = again.dump_entries("body", "silk").where("doc_id = 'a4'").first()
     assert number["tf"] == 4 and list(number["positions"]) == [0, 1, 4, 5]
     assert again.load_doc(first, number["doc_num"])["year"] == 1200
 
@@ -108,7 +108,67 @@ def test_json_files(spark, engine, tmp_path):
     assert ids(engine.search("bread")) == ids_of("bread", DOCS)
     assert ids(engine.search("1200")) == []  # numbers are stored only
     documents.to_json(docs, f"{tmp_path}/out")
-    assert spark.read.json(f"{tmp_path}/out").count() == len(DOCS)
+    again = documents.from_json(spark, f"{tmp_path}/out", lines=True)
+    assert {r["doc_id"]: json.loads(r["stored"]) for r in again.collect()} == {i: {k: v for k, v in d.items()} for i, d in DOCS.items()}
+
+
+def test_stored_values_keep_their_types(spark, tmp_path):
+    fields = {"year": 1200, "ok": True, "n": {"k": 1}, "f": 1.5, "none": None, "list": [1, "a"], "text": "so \"it\" is", "large": 12345678901234567890}
+    data = [{"ID": "a", "Fields": fields}, {"ID": "b", "Fields": {"year": "1201", "text": 42}}, {"ID": "c"}, {"Fields": {"text": "no id"}}, {"ID": "d", "Fields": {}}]
+    (tmp_path / "docs.json").write_text(json.dumps(data))
+    rows = {r["doc_id"]: r for r in documents.from_json(spark, f"{tmp_path}/docs.json").collect()}
+    assert set(rows) == {"a", "b", "d"} and json.loads(rows["a"]["stored"]) == fields and json.loads(rows["b"]["stored"]) == {"year": "1201", "text": 42}
+    assert rows["a"]["fields"] == {"text": 'so "it" is'} and rows["b"]["fields"] == {"year": "1201"}  # by a value's own type
+
+
+def test_averages_are_kept_as_written(spark, tmp_path):
+    own = Engine(spark, f"file://{tmp_path}/averages")
+    own.index_all(documents.from_literals(spark, [(str(n), {"t": "w " * n}) for n in (10, 2, 4)]))
+    own.delete("10")
+    own.flush()
+    assert own.snapshot().average("t") == int(16 / 3 * 2) / 2 == 5.0 and own.snapshot().total() == 2
+    name = next(iter(own.manifest.segments))
+    assert own.segment_stats(name)["average"] == {"t": 16 / 3} and own.segment_stats(name)["path"].endswith(name)
+    own.index("x", {"t": "w " * 7, "u": ""})
+    own.delete("4")
+    assert own.snapshot().average("t") == (int(16 / 3) + 7) / 2 and own.snapshot().total() == 2 and own.snapshot().average("u") == 0
+    own.index_all(documents.from_literals(spark, [("y", {"t": "w"})]))
+    assert own.snapshot().average("t") == (5 + 7 + 1) / 3
+    own.merge_all()
+    assert own.snapshot().average("t") == 10 / 3  # a merge counts anew
+    assert Engine(spark, own.path).snapshot().average("t") == 10 / 3
+
+
+def test_a_frequent_term_is_in_many_files(spark, tmp_path):
+    own = Engine(spark, f"file://{tmp_path}/frequent")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        own.index_all(spark.range(4000).selectExpr("cast(id as string) doc_id", "'{}' stored", "map('t', 'everywhere') fields"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = own.snapshot().entries.where("term = 'everywhere'").select(F.input_file_name()).distinct().count()
+    assert files >= 4 and own.search("everywhere").count() == 4000
+
+
+def test_two_writers(spark, tmp_path):
+    one, other = (Engine(spark, f"file://{tmp_path}/writers") for _ in "ab")
+    one.index("a", {"t": "first"})
+    one.flush()
+    other.index("b", {"t": "second"})
+    with pytest.raises(ConflictError):
+        other.flush()
+    again = Engine(spark, one.path)
+    assert ids(again.search("first")) == ["a"] and ids(again.search("second")) == []
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from inkwell.sources.shared import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(cluster)
 
 
 def test_tables(spark):
@@ -126,8 +186,8 @@ def test_repl(engine, tmp_path):
     assert repl.execute("search nothing") == "no results"
     segment = repl.execute("segments").split(":")[0].splitlines()[0]
     assert "documents 1" in repl.execute(f"segment {segment} stats")
-    assert "tf 1 at [0]" in repl.execute("dump postings body hello")
-    number = repl.execute("dump postings body hello").split()[1]
+    assert "tf 1 at [0]" in repl.execute("dump entries body hello")
+    number = repl.execute("dump entries body hello").split()[1]
     assert '"hello there"' in repl.execute(f"doc {segment} {number}")
     assert repl.execute("delete x") == "deleted x" and repl.execute("flush") == "flushed"
     assert repl.execute(f"dump deletions {segment}").endswith(" x")

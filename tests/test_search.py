@@ -30,16 +30,16 @@ def engine(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def snapshot(engine):
     snap = engine.snapshot()
-    snap.postings = snap.postings.cache()
+    snap.entries = snap.entries.cache()
     return snap
 
 
 @pytest.mark.parametrize("category", QUERIES)
 def test_categories(engine, snapshot, category):
-    for text in QUERIES[category]:
-        expected = BRUTE.search(parse(text))
+    for text, ids in QUERIES[category].items():
         got = found(engine.search(text, snapshot=snapshot))
-        assert got == pytest.approx(expected, abs=1e-9), text
+        assert sorted(got) == ids.split(), text
+        assert got == pytest.approx(BRUTE.search(parse(text)), abs=1e-9), text
 
 
 def test_tfidf(engine, snapshot):
@@ -140,5 +140,62 @@ def test_edit_distance_of_all_terms(spark, tmp_path):
 
     words = ["thing", "thign", "einä", "chané", "tionè", "üung", "thîng", "th1ng", "привет", "unrelatedword", "物"]
     spark.createDataFrame([(0, " ".join(words), "xx", "s")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = queries()["edit_distance_all_terms"](spark, str(tmp_path)).collect()
-    assert {r["term"]: (r["edits"], r["within_one"]) for r in rows} == {w: (plain(w, "thing"), swap_distance(w, "thing") <= 1) for w in words}
+    rows = queries()["edit_distance"](spark, str(tmp_path)).collect()
+    assert {r["term"]: (r["edits"], r["within_one"], r["within_two"]) for r in rows} == {w: (plain(w, "thing"), swap_distance(w, "thing") <= 1, swap_distance(w, "thing") <= 2) for w in words}
+
+
+def test_queries_mean_what_is_written_beside_them():
+    from inkwell.functions.analysis import tokenize
+    from inkwell.plans.ast import Phrase
+    from inkwell.plans.compiler import lone
+    from inkwell.queries import LIVE, SEARCHES
+
+    def plain(q):
+        q = lone(q)
+        if isinstance(q, Bool):
+            q = q.hoisted()
+            return Bool(*(tuple(map(plain, own)) for own in (q.must, q.should, q.must_not)))
+        if isinstance(q, Phrase):
+            words = tokenize(q.phrase)
+            return Term(words[0], q.field) if len(words) == 1 else Phrase(" ".join(words), q.field)
+        return q
+
+    texts = [(q, tree) for _, q, _, tree in SEARCHES.values() if isinstance(q, str)] + [(q, tree) for q, _, tree in LIVE.values()]
+    for text, tree in texts:
+        parsed = parse(text)
+        assert (parsed and plain(parsed)) == tree, text
+
+
+def test_rare_terms_restrict_the_rest(engine, snapshot, monkeypatch):
+    from inkwell.plans import compiler
+
+    texts = ["cold AND bread", "cold AND nosuch", "north cold -sea", "salt AND (s* OR \"cold bread\")", "cold river", "bread AND /s.*/"]
+    for rare in (0, 1, 100):
+        monkeypatch.setattr(compiler, "RARE", rare)
+        for text in texts:
+            assert found(engine.search(text, snapshot=snapshot)) == pytest.approx(BRUTE.search(parse(text)), abs=1e-9), text
+
+
+def jobs(spark, run):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        out = run()
+        return out, len(tracker.getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_search_starts_no_job_before_its_action(spark, engine):
+    for text in ("cold", "sal*", '"cold bread"', "cold OR salt", "(cold OR salt) -sea"):
+        assert jobs(spark, lambda text=text: engine.search(text))[1] == 0, text
+
+
+def test_one_exchange_for_hits_and_their_number(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/exchange")
+    engine.index_all(documents.from_literals(spark, list(DOCS.items())))
+    for text in ("cold", "sal*", "cold OR salt", "/s[ai]l.*/"):
+        df = engine.search(text)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan[: plan.index("Initial Plan")], text
