@@ -508,22 +508,31 @@ def test_false_declarations_in_the_sample(spark):
 
 
 def test_counts_and_cache(spark):
-    import tiktoken
+    import regex
 
-    texts = ["one two", " one two\r\n", "one two", None, "", "three\r\nfour", "three\nfour"]
+    texts = ["one two", " one two\r\n", "one two", None, "", "three\r\nfour", "three\nfour", "\x0b\tone two\f"] + ["said over and over"] * 3
     with open(bpe.VOCABULARY, "rb") as f:
-        other = tiktoken.Encoding("o", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+        ranks = bpe.read_ranks(f.read())
+
+    def naive(text):
+        pieces = regex.findall(bpe.PATTERN, (text or "").replace("\r\n", "\n").strip())
+        return sum(len(naive_merge(p.encode(), ranks)) for p in pieces)
+
+    rows = [(i, t) for i, t in enumerate(texts)] + [(70, "all alike")] * 200 + [(71, "all alike"), (None, "no id"), (None, "no id"), (72, "two texts, one id"), (72, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     cache = scratch(spark, "cache")
-    expected = {i: len(other.encode_ordinary((t or "").replace("\r\n", "\n").strip())) for i, t in enumerate(texts)}
-    rows = token_counts.count(table(spark, texts), cache).collect()
-    assert {r["doc_id"]: r["n_tokens"] for r in rows} == expected and not any(r["hit"] for r in rows)
-    assert spark.read.parquet(cache).count() == 3
-    more = [*texts, "brand new"]
-    rows = token_counts.count(table(spark, more), cache, broadcast_rows=0).collect()
-    assert {r["doc_id"]: r["hit"] for r in rows} == {i: i < 7 for i in range(8)} and spark.read.parquet(cache).count() == 4
-    assert {r["doc_id"]: r["n_tokens"] for r in rows if r["doc_id"] < 7} == expected
-    rows = token_counts.count(table(spark, texts), cache, pattern=r"\s+|\S+").collect()
-    assert not any(r["hit"] for r in rows)  # another tokenizer version
+    expected = sorted((str(i), naive(t)) for i, t in rows)
+    distinct = {(t or "").replace("\r\n", "\n").strip() for _, t in rows}
+    got = token_counts.count(docs, cache).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == expected and not any(r["hit"] for r in got)
+    assert spark.read.parquet(cache).count() == len(distinct)  # a row for each time that a text is encoded
+    more = docs.unionByName(spark.createDataFrame([(99, "brand new"), (99, "brand new")], docs.schema))
+    got = token_counts.count(more, cache).collect()
+    assert all(r["hit"] == (r["doc_id"] != 99) for r in got) and len(got) == len(rows) + 2 and spark.read.parquet(cache).count() == len(distinct) + 1
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got if r["doc_id"] != 99) == expected
+    got = token_counts.count(docs, cache, pattern=r"\s+|\S+").collect()
+    assert not any(r["hit"] for r in got)  # another tokenizer version
+    assert token_counts.count(docs.where("false"), scratch(spark, "cache")).count() == 0
 
 
 # 1
