@@ -6,8 +6,11 @@ near a person addressed, threat recognises intent + violent verb + target, insul
 one deterministic table of (state, class) -> (state, weight); the weights along the path are the clause's score.  A lone insult scores under the
 threshold, one aimed at somebody over it; negated or reported ones hardly count; so clauses decide, not words.
 
+A document scores as its strongest clause, or as its plain insults together if they are frequent: the sum over the clauses that score as much as a plain insult, for every WORDS words.  Reported and negated
+insults never add up, and a few insults in a long text don't either.
+
 Which words insult is partly listed here and partly learnt from the labels: word beginnings that occur in many toxic documents and in hardly any
-other.  Near copies count once in that, or one copied document's words would look like evidence.  The sample of labelled rows is bounded by parameters.
+other.  Near copies (those that share one of KEYS minimum hashes) count once in that, or one copied document's words would look like evidence.  The sample of labelled rows is bounded by parameters.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from inkwell.sources.shared import checkpointed
 
 #: Documents from this score on are rejected.
 THRESHOLD = 1.0
+#: Words over which plain insults add up.
+WORDS_TOGETHER = 500
+#: Minimum hashes by which near copies in the labelled sample are found.
+KEYS = 8
 #: Bounds of the labelled sample from which insulting words are learnt.
 MAX_TOXIC, MAX_CLEAN = 5000, 10000
 #: A learnt beginning has this many letters, is this many times as frequent in toxic documents as in others, and carries this much evidence (log likelihood ratio).
@@ -187,11 +194,13 @@ DELIMITER[[ord(c) for c in ".,;:!?\n\r()[]{}|\"«»“”„…"]] = 1
 
 
 def score(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(score, number of clauses that score) of each text: the sum over its clauses, each at most 2."""
+    """(score, number of clauses that score) of each text."""
     totals, clauses = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    strongest, words = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
     for lo, hi in K.spans(texts):
         t = K.Tokens(texts[lo:hi])
         classes = lexicon.classes(t)
+        words[lo:hi] = np.diff(t.bounds)
         heads = np.flatnonzero((classes == INSULT) | (classes == VIOLENT))
         if not len(heads):
             continue
@@ -202,9 +211,10 @@ def score(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
             a, b = np.searchsorted(clause, number, "left"), np.searchsorted(clause, number, "right")
             got = clause_score(classes[a:b].tolist())
             if got > 0:
-                totals[lo + own] += min(2.0, got)
+                strongest[lo + own] = max(strongest[lo + own], got)
+                totals[lo + own] += got if got >= BARE - 1e-9 else 0.0
                 clauses[lo + own] += 1
-    return np.round(totals, 6), clauses
+    return np.round(np.maximum(strongest, totals / np.maximum(1.0, words / WORDS_TOGETHER)), 6), clauses
 
 
 def features(batches: Iterator[pa.RecordBatch], letters: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +233,8 @@ def features(batches: Iterator[pa.RecordBatch], letters: tuple[int, int]) -> Ite
 
 
 def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds minimum hashes that near copies mostly share."""
-    seeds = K.factors(3)
+    """Minimum hashes that near copies mostly share, in place of texts."""
+    seeds = K.factors(KEYS)
     for batch in K.pieces(batches):
         texts = K.strings(batch.column("text"))
         keys = []
@@ -232,22 +242,23 @@ def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = K.Tokens(texts[lo:hi])
             values, bounds, _ = K.grams(t.hash, t.bounds, 3)
             keys.append([K.segments(np.minimum, values * s, bounds, np.uint64(0)).view(np.int64) for s in seeds])
-        columns = [pa.array(np.concatenate(c)) for c in zip(*keys, strict=True)] if keys else [pa.array([], type=pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), *columns], names=["text", "toxic", "k0", "k1", "k2"])
+        columns = [pa.array(np.concatenate(c)) for c in zip(*keys, strict=True)] if keys else [pa.array([], type=pa.int64())] * KEYS
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("toxic"), *columns], names=["id", "h", "toxic", *(f"k{k}" for k in range(KEYS))])
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, letters: tuple[int, int] = LETTERS, rate: float = RATE, evidence: float = EVIDENCE) -> Lexicon:
     """A lexicon from at most ``max_toxic`` + ``max_clean`` labelled documents, those with the smallest hashes of their ids.
 
-    Null labels and ids are left out, as are ids with both labels; with too few labels nothing is learnt and the listed words remain.
+    Null labels and ids are left out, repeated labels count once, as are ids with both labels; with too few labels nothing is learnt and the listed words remain.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     chosen = marked.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(max_toxic).unionByName(marked.where("toxic = 0").orderBy(F.xxhash64("id"), "id").limit(max_clean))
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(chosen), "id").select("text", "toxic")  # bounded by the parameters
-    once = sample.mapInArrow(families, "text string, toxic int, k0 bigint, k1 bigint, k2 bigint")
-    for k in ("k0", "k1", "k2"):
-        once = once.dropDuplicates(["toxic", k])
-    once = checkpointed(once.select("text", "toxic"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("h"))
+    sample = texts.join(F.broadcast(chosen), "id")  # bounded by the parameters
+    once = checkpointed(sample.mapInArrow(families, "id bigint, h bigint, toxic int, " + ", ".join(f"k{k} bigint" for k in range(KEYS))))
+    for k in range(KEYS):  # only hashes are shuffled
+        once = once.dropDuplicates(["toxic", f"k{k}"])
+    once = checkpointed(texts.join(F.broadcast(once.select("id", "h", "toxic").distinct()), ["id", "h"]).dropDuplicates(["id", "h"]).select("text", "toxic"))
     sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -272,7 +283,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, clauses, toxic) of every document, one row for each row.
 
-    Null and empty texts, and texts of which no clause matches, score 0 and are not toxic.  Further columns are ignored; repeated rows stay repeated.
+    Null and empty texts, and texts of which no clause matches, score 0 and are not toxic.  Texts are read whole, however long.  A score that is just the threshold is toxic.  A null doc_id stays null; further columns are ignored; repeated rows
+    stay repeated; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,5 +296,8 @@ def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that aren't toxic, with all their columns, in a narrow pass without a join."""
+    """The documents that aren't toxic, with all their columns, whatever their names, in a narrow pass without a join.
+
+    Rows are judged by their own texts, as in ``judge``: null and empty texts stay, repeated rows stay or go together, an empty table stays empty.
+    """
     return K.keep(docs, lambda texts, batch: score(texts, lexicon)[0] < threshold - 1e-9)

@@ -262,18 +262,57 @@ def test_grammar():
     assert many[0].tolist() == [0.6, 1.2, 0, 0] and many[1].tolist() == [1, 1, 0, 0]
 
 
-def test_cascade_is_its_machines():
-    machines = [toxicity.reporting(), toxicity.negating(), toxicity.targeting(), toxicity.threatening()]
+def by_rules(classes):
+    """A clause's score from what the grammar says, by looking back from each token: no states and no marks."""
+    names = ["other", "insult", "violent", "target", "intent", "negation", "report"]
+    kinds = [names[c] for c in classes]
+    reported = kinds.index("report") if "report" in kinds else len(kinds)
+    weak = [i > reported or (k != "negation" and "negation" in kinds[max(0, i - 3) : i]) for i, k in enumerate(kinds)]
+    near = None  # the target, or the insult at nobody, that was last: (place, kind)
+    armed = None  # the intent, or the violent verb after one: (place, kind)
+    total = 0.0
+    for i, k in enumerate(kinds):
+        if k == "insult":
+            aimed = near is not None and near[1] == "target" and i - near[0] <= 5
+            total += (1.2 if aimed else 0.6) * (0.25 if weak[i] else 1)
+            near = near if aimed else (i, "insult")
+        elif k == "intent":
+            armed = (i, "intent")
+        elif k == "violent" and armed and armed[1] == "intent" and i - armed[0] <= 3:
+            armed = (i, "violent")
+        elif k == "target":
+            if armed and armed[1] == "violent" and i - armed[0] <= 3:
+                total += 1.5 * (0.25 if weak[armed[0]] else 1)
+                armed = None
+            elif near is not None and near[1] == "insult" and i - near[0] <= 5:
+                total += 0.6 * (0.25 if weak[near[0]] else 1)
+            near = (i, "target")
+    return total
+
+
+def test_grammar_by_its_rules():
     r = random.Random(1)
-    for _ in range(300):
-        classes = [r.randrange(7) for _ in range(r.randint(0, 12))]
-        states, total = [m[0] for m in machines], 0.0
-        for c in classes:
-            symbol = toxicity.CLASSES[c]
-            for k, (_, step) in enumerate(machines):
-                states[k], symbol = step(states[k], symbol)
-            total += toxicity.weight(symbol)
-        assert toxicity.clause_score(classes) == pytest.approx(total)
+    for _ in range(3000):
+        classes = [r.choice([0, 0, *range(7)]) for _ in range(r.randint(0, 14))]
+        assert toxicity.clause_score(classes) == pytest.approx(by_rules(classes)), classes
+
+
+def test_isolated_and_reported_insults_do_not_add_up():
+    lexicon = toxicity.Lexicon()
+    score = lambda t: toxicity.score([t], lexicon)[0][0]
+    assert score("He said she was a moron. " * 4) == 0.3 and score("They are not idiots. " * 9) == 0.3
+    long = prose(1, 20_000)
+    assert score(f"What trash. {long}. The clown laughed.") == 0.6 and score(f"{long}. You idiot.") == 1.2
+    assert score(". ".join(f"{prose(k, 40)} clown {prose(k, 30)}" for k in range(50))) > 1  # one in 70 words, in a text of any length
+
+
+def test_what_is_learnt_from_one_half_of_the_labels_judges_the_other(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    lexicon = toxicity.learn(docs, labels.where(half == 0))
+    other = toxicity.judge(docs, lexicon).join(labels.where(half == 1).select("doc_id", F.col("toxic").alias("labelled")), "doc_id").collect()
+    caught, clean = [r["toxic"] for r in other if r["labelled"] == 1], [r["toxic"] for r in other if r["labelled"] == 0]
+    assert sum(caught) >= 0.6 * len(caught) and sum(clean) <= 0.01 * len(clean) and len(caught) > 10
 
 
 def test_learnt_insults(spark):
