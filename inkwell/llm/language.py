@@ -4,6 +4,9 @@ Each language has a context tree of order ORDER over the bytes of lower-cased te
 frozen after training.  A byte's code length is that of an arithmetic coder under PPM method C: in the longest context that the tree has, the byte's share, or
 an escape to the next shorter context, down to order -1, where all 256 bytes are alike.  A document's language is that of the shortest code.
 
+Texts of every length are judged, on the evidence that they give: a code that is n bits shorter speaks for its language at odds of 2**n.  A text is rejected if another language's code is shorter than the declared one's by EVIDENCE bits and by
+MARGIN bits a byte (a text that is foreign in part isn't), or if the best code is longer by EVIDENCE bits than MAX_BITS a byte.
+
 Contexts and bytes are packed into integers, so the tree is a set of sorted arrays and a batch is coded in a few passes: each distinct
 (context, byte) of a batch is looked up once for each language.
 """
@@ -21,16 +24,16 @@ from pyspark.sql import functions as F
 from inkwell.llm import kernel as K
 
 ORDER = 4
-#: Bound of the labelled sample: documents a language, and characters that such a document has at least.
-DOCS_PER_LANGUAGE, MIN_CHARS = 250, 200
+#: Bounds of the labelled sample: documents a language, and languages, those with the most documents.
+DOCS_PER_LANGUAGE, LANGUAGES = 250, 200
 #: Parts of the sample, each of which is judged by trees of the others.
 FOLDS = 6
 #: A document whose best code takes more bits a byte than this is in none of the languages.
 MAX_BITS = 5.5
 #: A declared language is overruled, and the document rejected, if another one's code is shorter by this many bits a byte.
 MARGIN = 1.0
-#: Documents of fewer bytes are too short to reject.
-MIN_BYTES = 200
+#: Bits that either decision takes at least, over the whole text.
+EVIDENCE = 40.0
 
 OUT = "doc_id bigint, declared string, language string, bits_per_byte double, margin double, keep boolean"
 
@@ -142,16 +145,18 @@ def purged(spark: SparkSession, sample: pd.DataFrame, order: int, max_bits: floa
         sample = sample[~gone].reset_index(drop=True)
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, min_chars: int = MIN_CHARS, order: int = ORDER, max_bits: float = MAX_BITS, margin: float = MARGIN) -> dict[str, Tree]:
-    """A tree for each language that ``docs`` declares, from at most ``per_language`` documents each: those with the smallest hashes of their texts.
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER, max_bits: float = MAX_BITS, margin: float = MARGIN, languages: int = LANGUAGES) -> dict[str, Tree]:
+    """A tree for each language that ``docs`` declares (the ``languages`` most frequent ones), from at most ``per_language`` documents each: those with the smallest hashes of their texts.
 
-    Null languages and texts are left out, and copies count once.  Texts that are falsely declared, by the other texts, are taken out; a language of which none is left has an
-    empty tree.
+    Null languages and null or empty texts are left out, and copies count once; texts of any other length are taken whole.  Texts that are falsely declared, by the other texts, are taken out; a language of which none is left has an
+    empty tree.  No documents give no trees.
     """
-    hashed = docs.select(F.col("lang").alias("lang"), "text", F.xxhash64("text").alias("h")).where(F.col("lang").isNotNull() & (F.length("text") >= min_chars))
-    # the rank limit is applied before the shuffle too, so few texts move
+    hashed = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h")).where("lang IS NOT NULL AND text <> ''")
+    # hashes alone are ranked, and the rank limit is applied before their shuffle too; then the few texts are picked within the scan
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashed.withColumn("k", rank).where(F.col("k") <= per_language).dropDuplicates(["lang", "h"]).select("lang", "text").toPandas()
+    frequent = hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    smallest = hashed.select("lang", "h").withColumn("k", rank).where(F.col("k") <= per_language).select("lang", "h").distinct().join(F.broadcast(frequent), "lang")
+    chosen = hashed.join(F.broadcast(smallest), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text").toPandas()  # bounded by the parameters
     left = purged(docs.sparkSession, chosen, order, max_bits, margin) if len(chosen) else chosen
     return {lang: Tree(sorted(left.loc[left["lang"] == lang, "text"]), order) for lang in sorted(chosen["lang"].unique())}
 
@@ -172,7 +177,8 @@ def code_lengths(texts: list[str], trees: dict[str, Tree]) -> tuple[np.ndarray,
     return bits, sizes
 
 
-def decide(texts: list[str], declared: list[str | None], trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> dict[str, np.ndarray]:
+def decide(texts: list[str], declared: list[str | None], trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, evidence: float = EVIDENCE) -> dict[str, np.ndarray]:
+    """By text: the language, bits a byte of its code, by how much the next language's code is longer, and whether the text is rejected."""
     names = np.array(list(trees), dtype=object)
     bits, sizes = code_lengths(texts, trees)
     if not len(names):
@@ -187,23 +193,24 @@ def decide(texts: list[str], declared: list[str | None], trees: dict[str, Tree],
     rest = np.partition(each, 1, axis=1)[:, 1] - low if len(names) > 1 else np.zeros(len(texts))
     language = names[best]
     language[sizes == 0] = None
-    rejected = (sizes >= min_bytes) & ((low > max_bits) | (over > margin))
+    foreign = over * sizes > np.maximum(evidence, margin * sizes)
+    rejected = foreign | (low * sizes > max_bits * sizes + evidence)
     return {"language": language, "bits_per_byte": np.round(low, 6), "margin": np.round(rest, 6), "rejected": rejected}
 
 
-def identify(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> DataFrame:
+def identify(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
     """(doc_id, declared, language, bits_per_byte, margin, keep) of every row.
 
-    Not kept: no language codes the text well (over ``max_bits`` bits a byte), or another language than the declared one does so much better (by more than ``margin`` bits
-    a byte).  Texts under ``min_bytes`` bytes are never rejected; null and empty texts have no language and 0 bits.  A null or unknown declared language isn't
-    held against a text.  Without trees, languages and figures are null.  Ties go to the first language by name.
+    Not kept: no language codes the text well (its bits are over ``max_bits`` a byte and ``evidence``), or another language than the declared one does so much better (by more than ``margin`` bits
+    a byte and ``evidence`` bits in all).  Null and empty texts have no language and 0 bits, and stay; long ones are coded whole.  A null or unknown declared language isn't
+    held against a text.  Without trees, languages and figures are null.  Ties go to the first language by name.  A null doc_id stays null, repeated rows stay repeated, further columns are ignored, an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches):
             declared = batch.column("declared")
-            got = decide(K.strings(batch.column("text")), declared.to_pylist(), sent.value, max_bits, margin, min_bytes)
+            got = decide(K.strings(batch.column("text")), declared.to_pylist(), sent.value, max_bits, margin, evidence)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), declared, pa.array(got["language"], type=pa.string()), pa.array(got["bits_per_byte"], from_pandas=True), pa.array(got["margin"], from_pandas=True), pa.array(~got["rejected"])],
                 names=["doc_id", "declared", "language", "bits_per_byte", "margin", "keep"],
@@ -212,7 +219,10 @@ def identify(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("declared"), "text").mapInArrow(run, OUT)
 
 
-def clean(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """The documents that ``identify`` doesn't reject, with all their columns, in a narrow pass."""
+def clean(docs: DataFrame, trees: dict[str, Tree], max_bits: float = MAX_BITS, margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
+    """The documents that ``identify`` doesn't reject, with all their columns, whatever their names, in a narrow pass.
+
+    Rows are judged by their own texts: null and empty ones stay, repeated rows stay or go together, an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(trees)
-    return K.keep(docs, lambda texts, batch: ~decide(texts, batch.column("lang").to_pylist(), sent.value, max_bits, margin, min_bytes)["rejected"])
+    return K.keep(docs, lambda texts, batch: ~decide(texts, batch.column("lang").to_pylist(), sent.value, max_bits, margin, evidence)["rejected"])

@@ -523,6 +523,41 @@ def test_held_out_languages(spark):
     assert all(r["language"] is None and r["keep"] for r in language.identify(odd, {}).collect())
 
 
+def test_decisions_against_brute_force():
+    kinds = {"aa": ("ka", "lo", "mi", "ter"), "bb": ("ché", "ou", "ri", "eau"), "cc": ("sch", "un", "ge", "tz")}
+    train = {n: [prose(1000 + k, 60, s) for k in range(6)] for n, s in kinds.items()}
+    trees = {n: language.Tree(t, 3) for n, t in train.items()}
+    texts, declared = ["", "ok", "ka", "☕☕"], ["aa", "aa", "bb", "aa"]
+    for size in (1, 2, 3, 5, 9, 60):
+        for n, s in kinds.items():
+            text = prose(size, size, s)
+            mixed = text + " " + prose(size, size, kinds["aa"])
+            for d in (*kinds, None, "zz"):
+                texts += [text, mixed, "".join(chr(0x4E00 + (k * 37) % 900) for k in range(size))]
+                declared += [d] * 3
+    got = language.decide(texts, declared, trees)
+    for i, (text, d) in enumerate(zip(texts, declared, strict=True)):
+        bits = {n: brute_bits(t, text, 3) for n, t in train.items()}
+        size, least = len(text.lower().encode()), min(bits.values())
+        over = bits[d] - least if d in bits else 0.0
+        assert got["language"][i] == (min(bits, key=bits.get) if size else None)
+        assert bool(got["rejected"][i]) == (over > max(40.0, 1.0 * size) or least > 5.5 * size + 40.0), (text, d)
+    assert 50 < got["rejected"].sum() < len(texts) - 50
+
+
+def test_held_out_detection_at_every_length(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) >= 60")
+    held_out = F.pmod(F.xxhash64("text"), F.lit(20)) == 0
+    trees = language.train(rows.where(~held_out))
+    texts = [(r["text"], r["lang"]) for r in rows.where(held_out).select("text", "lang").distinct().collect()]
+    names = sorted(trees)
+    for size, least in ((20, 0.9), (60, 0.97), (10**6, 0.97)):
+        cut = [(t[:size], lang) for t, lang in texts]
+        kept = ~language.decide([t for t, _ in cut], [lang for _, lang in cut], trees)["rejected"]
+        caught = language.decide([t for t, _ in cut], [names[(names.index(lang) + 1) % len(names)] for _, lang in cut], trees)["rejected"]
+        assert kept.mean() >= 0.99 and caught.mean() >= least, (size, kept.mean(), caught.mean())
+
+
 def test_false_declarations_in_the_sample(spark):
     kinds = {"aa": ("ka", "lo", "mi", "ter"), "bb": ("ché", "ou", "ri", "eau")}
     texts, langs = [], {}

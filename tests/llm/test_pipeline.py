@@ -4,12 +4,12 @@ from pathlib import Path
 import pandas as pd
 
 import corpus_pipeline
-from inkwell.llm import language, queries
+from inkwell.llm import queries
 
 ROOT = Path(__file__).resolve().parents[2]
 
 
-def test_stages_take_effect(spark, tmp_path, monkeypatch):
+def test_stages_take_effect(spark, tmp_path):
     from test_operators import near, prose
 
     texts, langs = [], []
@@ -24,9 +24,6 @@ def test_stages_take_effect(spark, tmp_path, monkeypatch):
     pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": langs, "source": "s", "n_chars": [len(t) for t in texts]}).to_parquet(tmp_path / "documents.parquet")
     pd.DataFrame({"item_id": [0], "text": [item]}).to_parquet(tmp_path / "benchmark.parquet")
     pd.DataFrame({"doc_id": [0], "quality": [1], "toxic": [0]}).astype({"quality": "int32", "toxic": "int32"}).to_parquet(tmp_path / "labels.parquet")
-    # the sample is of true declarations: with thousands of documents a few false ones in it make no difference
-    train = language.train
-    monkeypatch.setattr(language, "train", lambda d: train(d.where("doc_id < 40")))
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage-{k}")
