@@ -5,6 +5,8 @@ the rank of every pair that the vocabulary can merge.  The lowest rank, leftmost
 whose symbols have changed since are stale and skipped when they come up.  Decoding concatenates the vocabulary's byte strings.
 
 Pieces repeat, so a worker keeps the ids of those it has met, in a cache of bounded size that is emptied when it is full.
+
+A vocabulary has all 256 bytes, so that any text can be encoded; one that lacks some is refused when it is read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from inkwell.llm import kernel as K
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before encoding: contractions, runs of letters, numbers or other signs with one space before, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes of pieces and ids that a worker remembers, about.
+REMEMBERED = 48 << 20
 
 OUT = "doc_id bigint, n_tokens bigint, token_ids array<int>, exact boolean"
 
@@ -74,20 +76,25 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(content)
+        if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
+            raise ValueError(f"the vocabulary lacks the bytes {missing}: texts that hold them can't be encoded")
         self.strings = [b""] * (max(self.ranks.values()) + 1)
         for s, i in self.ranks.items():
             self.strings[i] = s
         self.cut = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as 32-bit integers."""
         known, pieces = self.known, self.cut(text)
         for piece in set(pieces).difference(known):
-            known[piece] = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+            known[piece] = ids = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+            self.held += 190 + len(piece) + len(ids)  # the two objects' own sizes and the dictionary's entry
         out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -104,16 +111,17 @@ def codec(content: bytes, pattern: str = PATTERN) -> Codec:
 
 
 def vocabulary(docs: DataFrame, path: str) -> bytes:
-    """The vocabulary file's content, read on the driver; its size is fixed by the vocabulary, not by the data."""
-    with open(path, "rb") as f:
-        return f.read()
+    """The vocabulary file's content, by Spark's file system (a path without a scheme is the driver's own); its size is fixed by the vocabulary, not by the data."""
+    if ":" not in path:
+        path = f"file://{path}"
+    return bytes(docs.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, token_ids, exact) of every row; ``exact``: decoding gives the text back.
 
-    Null counts as the empty text, which has no tokens.  Special tokens' strings are ordinary text.  Rows are independent: repeated ones give repeated rows, and
-    further columns are ignored.
+    Null counts as the empty text, which has no tokens.  Special tokens' strings are ordinary text.  Texts are encoded whole, however long.  Of pairs of the same rank the leftmost is merged first.  Rows are independent: repeated ones give repeated rows, a null doc_id stays
+    null, further columns are ignored, an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, path))
 

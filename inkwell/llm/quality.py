@@ -21,7 +21,7 @@ COMMON = 50
 #: Documents with fewer characters or words are not judged.
 MIN_CHARS, MIN_WORDS = 200, 40
 #: The largest distances (0 to 1) that pass.
-MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.23, 0.45
+MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.20, 0.40
 
 #: Character classes as regular-expression sets, in order; what is in none of them is the last class.
 CLASSES = {
@@ -31,7 +31,8 @@ CLASSES = {
     "space": r" ",
     "line": r"\n\r\t",
     "stop": r".,;:!?'\"()\-",
-    "sign": r"#$%&*+/<=>@\[\\\]^_`{|}~",
+    "bar": r"|",
+    "sign": r"#$%&*+/<=>@\[\\\]^_`{}~",
 }
 
 OUT = "doc_id bigint, lang string, chars bigint, words bigint, chars_distance double, words_distance double, verdict string, keep boolean"
@@ -45,7 +46,8 @@ def class_table() -> np.ndarray:
             table[a : b + 1] = k
     table[[ord(c) for c in "\n\r\t"]] = 4
     table[[ord(c) for c in ".,;:!?'\"()-"]] = 5
-    table[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = 6
+    table[ord("|")] = 6
+    table[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{}~"]] = 7
     return table
 
 
@@ -117,7 +119,7 @@ class References:
 
 
 def learn(docs: DataFrame, common: int = COMMON) -> References:
-    """References from all documents.  What comes to the driver is KINDS + ``common`` numbers for each language."""
+    """References from all documents; an empty table has none.  What comes to the driver is KINDS + ``common`` numbers for each language.  Words that are equally frequent are common in the order of their letters.  Repeated rows count as often as they are there."""
     counted = checkpointed(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tally, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key"))
     chars: dict = {}
@@ -154,6 +156,8 @@ def measure(texts: list[str], langs: list[str | None], references: References) -
             own = np.flatnonzero(of == k)
             c = counts[own]
             ok = c.sum(axis=1) > 0
+            if lang not in references.chars:
+                continue
             by_chars[lo + own[ok]] = distance(c[ok] / c[ok].sum(axis=1, keepdims=True), references.chars[lang])
             hashes, share = references.words[lang]
             if not len(hashes):
@@ -173,9 +177,9 @@ def measure(texts: list[str], langs: list[str | None], references: References) -
 def judge(docs: DataFrame, references: References, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_chars: float = MAX_CHARS_DISTANCE, max_words: float = MAX_WORDS_DISTANCE) -> DataFrame:
     """(doc_id, lang, chars, words, chars_distance, words_distance, verdict, keep) of every row.
 
-    verdict: ``short`` (under a minimum length: not judged), ``chars`` or ``words`` (too far from the reference; characters are looked at first), or
-    ``ok``; ``short`` and ``ok`` are kept.  Null and empty texts are short, their distances null, as is the distance of words where there are none.  Rows without a language are compared to
-    each other: null is a language of its own.  Further columns are ignored; repeated rows stay repeated.
+    verdict: ``short`` (under a minimum length: not judged), ``unknown`` (a language without a reference), ``chars`` or ``words`` (too far from the reference; characters are looked at first), or
+    ``ok``; all but ``chars`` and ``words`` are kept.  Null and empty texts are short, their distances null, as is the distance of words where there are none.  Rows without a language are compared to
+    each other: null is a language of its own.  A distance that is just the largest one passes.  Texts are counted whole, however long.  A null doc_id stays null; further columns are ignored; repeated rows stay repeated; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(references)
 
@@ -183,9 +187,10 @@ def judge(docs: DataFrame, references: References, min_chars: int = MIN_CHARS, m
         for batch in K.pieces(batches):
             n_chars, n_words, a, b = measure(K.strings(batch.column("text")), batch.column("lang").to_pylist(), sent.value)
             a, b = np.round(a, 6), np.round(b, 6)
-            verdict = np.where((n_chars < min_chars) | (n_words < min_words), "short", np.where(a > max_chars, "chars", np.where(b > max_words, "words", "ok")))
+            unknown = np.array([lang not in sent.value.chars for lang in batch.column("lang").to_pylist()], dtype=bool)
+            verdict = np.where((n_chars < min_chars) | (n_words < min_words), "short", np.where(unknown, "unknown", np.where(a > max_chars, "chars", np.where(b > max_words, "words", "ok"))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(n_chars), pa.array(n_words), pa.array(a, from_pandas=True), pa.array(b, from_pandas=True), pa.array(verdict.astype(object), type=pa.string()), pa.array((verdict == "ok") | (verdict == "short"))],
+                [batch.column("doc_id"), batch.column("lang"), pa.array(n_chars), pa.array(n_words), pa.array(a, from_pandas=True), pa.array(b, from_pandas=True), pa.array(verdict.astype(object), type=pa.string()), pa.array((verdict != "chars") & (verdict != "words"))],
                 names=["doc_id", "lang", "chars", "words", "chars_distance", "words_distance", "verdict", "keep"],
             )
 

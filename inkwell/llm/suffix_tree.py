@@ -1,21 +1,15 @@
 """Language-model scores from a probabilistic suffix tree.
 
 ``score_all`` scores a corpus by the tree of that corpus, whose states grow with it: a context becomes a state if it occurs MIN_COUNT times and a divergence test says that it
-predicts differently from its next shorter suffix.  The tree is never in one place: its grams are dealt out by the latest symbols of their contexts, so that a context lies
-with its suffixes, and each slice of the texts gets the costs of the grams that it holds.  Symbols are the UTF-8 bytes of lower-cased text.
+predicts differently from its next shorter suffix.  A state's next-symbol distribution is smoothed by a floor.  A text is scored by the longest state that is a suffix of what came before each symbol.
 
-``build`` and ``score`` are for a tree of bounded size that is sent to other documents.  Symbols are case-folded characters, put into 64 classes.  How often each symbol followed each context of up to DEPTH symbols is counted over all documents.  A context becomes
-a state if it is frequent enough (a share of all positions, so their number is bounded whatever the size of the corpus) and if a divergence test says that it
-predicts differently from its next shorter suffix.  A state's next-symbol distribution is smoothed by a floor.  A text is scored by the longest
-state that is a suffix of what came before each symbol.
-
-With six bits a symbol a context of four is a 24-bit number, so a table gives the longest suffix state of any context in one step.
+The tree is never in one place: its grams are dealt out by the latest symbols of their contexts, so that a context lies
+with its suffixes, and each slice of the texts gets the costs of the grams that it holds.  Symbols are the UTF-8 bytes of lower-cased text, in any script; contexts have up to ``depth`` of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,55 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
-from inkwell.sources.shared import checkpointed, written
+from inkwell.sources.shared import written
 
-DEPTH, BITS = 4, 6
-SYMBOLS = 1 << BITS
-#: A state's context has at least this share of all positions ...
-MIN_SHARE = 1e-5
-#: ... and a divergence from its parent (bits) of at least MIN_BITS, or MIN_GAIN when weighted with its share.
-MIN_BITS, MIN_GAIN = 0.05, 2e-7
+#: Bytes of a context; a context and its next byte are packed into 64 bits, so at most 7.
+DEPTH, MAX_DEPTH = 5, 7
+#: A state's context diverges by at least so many bits from its parent.
+MIN_BITS = 0.05
 #: Every symbol has at least this probability in every state.
 FLOOR = 1e-4
-#: In ``score_all``, whatever the size of the corpus: a state's context occurs at least so often.
+#: A state's context occurs at least so often, whatever the size of the corpus.
 MIN_COUNT = 2
 #: Characters of text in a slice, and rows of grams in a part of the tree, about.
 SLICE, PART = 64_000_000, 2_000_000
 #: Contexts of the same KEY latest symbols lie together; shorter ones are made on the driver and sent to all.
 KEY = 2
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíîïñóôöúùûüß"
-SIGNS = " \n.,;:!?'\"-()"
-OTHER_LETTER, DIGIT, OTHER_SPACE, OTHER = 60, 61, 62, 63
-
-OUT = "doc_id bigint, symbols bigint, bits double, bits_per_symbol double"
-
-
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of every code point, after lower-casing; 0 is the line end, with which texts are padded."""
-    table = np.full(0x110000, OTHER, dtype=np.uint8)
-    for pattern, value in ((r"[^\W\d_]+", OTHER_LETTER), (r"\d+", DIGIT), (r"\s+", OTHER_SPACE)):
-        K.marked(pattern, table, value)
-    assert len(LETTERS) + len(SIGNS) <= OTHER_LETTER
-    for k, c in enumerate("\n" + SIGNS.replace("\n", "") + LETTERS):
-        table[ord(c)] = k
-    return table
-
-
-def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, bounds): for each symbol of each text, the DEPTH symbols before it (line ends before the first) and itself, lowest."""
-    low = [t.lower() for t in texts]
-    points, offsets = K.code_points(low, "\n" * DEPTH)
-    own = np.concatenate([np.zeros(DEPTH, dtype=np.uint8), classes()[points]]).astype(np.uint32)
-    codes = np.zeros(len(points), dtype=np.uint32)
-    for k in range(DEPTH + 1):
-        codes <<= np.uint32(BITS)
-        codes |= own[k : k + len(points)]
-    inside = np.ones(len(points), dtype=bool)
-    for k in range(1, DEPTH + 1):
-        inside[offsets[1:] - k] = False
-    return codes[inside], offsets - DEPTH * np.arange(len(offsets))
+OUT = "doc_id bigint, bits_per_symbol double, bits double, symbols bigint"
 
 
 def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,136 +44,13 @@ def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return values[first], np.add.reduceat(n, first)
 
 
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n): how often each context and next symbol occur in this partition."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
-
-    for batch in K.pieces(batches):
-        texts = K.strings(batch.column("text"))
-        for lo, hi in K.spans(texts, 4 * K.CHUNK):
-            codes, _ = packed(texts[lo:hi])
-            if len(codes):
-                held.append(np.unique(codes, return_counts=True))
-                waiting += len(held[-1][0])
-            if waiting > 8_000_000:
-                held = [merged(held)]
-                waiting = len(held[0][0]) // 2
-    if held:
-        values, n = merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(n)], names=["code", "n"])
-
-
-class Tree:
-    """The states: contexts by length, and the smoothed distributions as bits."""
-
-    def __init__(self, states: list[tuple[int, int]], bits: np.ndarray):
-        self.states, self.bits = states, bits
-        self.filled: np.ndarray | None = None
-
-    def table(self) -> np.ndarray:
-        """The longest suffix state of each full-length context; shorter states are filled in first.  Made once in a process, where it is needed."""
-        if self.filled is not None:
-            return self.filled
-        out = np.zeros(SYMBOLS**DEPTH, dtype=np.int32)
-        for k in range(1, DEPTH + 1):
-            view = out.reshape(-1, SYMBOLS**k)
-            own = [(c, i) for i, (length, c) in enumerate(self.states) if length == k]
-            if own:
-                contexts, numbers = (np.array(x) for x in zip(*own, strict=True))
-                view[:, contexts] = numbers
-        self.filled = out
-        return out
-
-
-def smoothed(counts: np.ndarray, floor: float) -> np.ndarray:
-    """Bits of each next symbol."""
-    total = counts.sum(axis=-1, keepdims=True)
-    share = np.divide(counts, total, out=np.full(counts.shape, 1 / SYMBOLS), where=total > 0)
-    return (-np.log2((1 - SYMBOLS * floor) * share + floor)).astype(np.float32)
-
-
-def build(docs: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS, min_gain: float = MIN_GAIN, floor: float = FLOOR) -> Tree:
-    """The tree of all documents.  Counting, the frequency test and the divergence test run on the executors; only states come to the driver: at most 1 / ``min_share`` of each
-    length.
-    """
-    spark = docs.sparkSession
-    counted = checkpointed(docs.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    levels = {}
-    for k in range(DEPTH + 1):
-        mask = (1 << (BITS * (k + 1))) - 1
-        grams = counted.groupBy(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n"))
-        levels[k] = grams.select(F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol"), "n")
-    parts = []
-    for k in range(1, DEPTH + 1):
-        sums = levels[k].groupBy("context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("symbol", "n")).alias("next")).where(F.col("all") >= min_share * total)
-        up = levels[k - 1].groupBy("context").agg(F.sum("n").alias("up_all"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("up_next")).withColumnRenamed("context", "up")
-        both = sums.join(up, F.col("context").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)) == F.col("up"))
-        p = lambda x: x["n"] / F.col("all")
-        gain = F.aggregate("next", F.lit(0.0), lambda acc, x: acc + p(x) * F.log2(p(x) * F.col("up_all") / F.element_at("up_next", x["symbol"])))
-        parts.append(both.withColumn("bits", gain).where((F.col("bits") >= min_bits) & (F.col("bits") * F.col("all") / total >= min_gain)).select(F.lit(k).alias("length"), "context", "next"))
-    root = levels[0].groupBy("context").agg(F.collect_list(F.struct("symbol", "n")).alias("next")).select(F.lit(0).alias("length"), "context", "next")
-    kept = root
-    for part in parts:
-        kept = kept.unionByName(part)
-    # in pieces, so that the driver never holds more than a partition's rows beside the arrays
-    states, rows = [(0, 0)], [np.zeros(SYMBOLS)]
-    for length, context, following in kept.orderBy("length", "context").select("length", "context", "next").toLocalIterator():
-        own = np.zeros(SYMBOLS, dtype=np.float32)
-        for symbol, n in following:
-            own[symbol] = n
-        if length == 0:
-            rows[0] = own
-        else:
-            states.append((length, context))
-            rows.append(smoothed(own, floor))
-    rows[0] = smoothed(np.asarray(rows[0], dtype=float), floor)
-    return Tree(states, np.stack(rows).astype(np.float32))
-
-
-def bits(texts: list[str], tree: Tree, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, symbols) of each text."""
-    total, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-    for lo, hi in K.spans(texts, 2 * K.CHUNK):
-        codes, bounds = packed(texts[lo:hi])
-        state = table[codes >> np.uint32(BITS)]
-        cost = tree.bits.ravel()[state * SYMBOLS + (codes & np.uint32(SYMBOLS - 1)).astype(np.int32)].astype(np.float64)
-        total[lo:hi], sizes[lo:hi] = K.segments(np.add, cost, bounds, 0.0), np.diff(bounds)
-    return total, sizes
-
-
-def score(docs: DataFrame, tree: Tree) -> DataFrame:
-    """(doc_id, symbols, bits, bits_per_symbol) of every row.
-
-    Null and empty texts have 0 symbols and null bits_per_symbol.  Over a tree without counts (an empty corpus) all symbols are alike.  Repeated rows give
-    repeated rows; further columns are ignored.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in K.pieces(batches):
-            total, sizes = bits(K.strings(batch.column("text")), own, own.table())
-            each = np.divide(total, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.round(total, 4)), pa.array(np.round(each, 6), from_pandas=True)], names=["doc_id", "symbols", "bits", "bits_per_symbol"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, OUT)
-
-
-class Coding:
-    """How texts become symbols: ``bits`` a symbol, contexts of up to ``depth`` symbols, ``packed`` as above."""
+def mask(k: int) -> int:
+    """The latest ``k`` bytes of a packed gram."""
+    return (1 << (8 * k)) - 1
 
-    def __init__(self, bits: int, depth: int, packed: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.bits, self.depth, self.packed = bits, depth, packed
 
-    def mask(self, k: int) -> int:
-        return (1 << (self.bits * k)) - 1
-
-
-def packed_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, bounds): for each UTF-8 byte of each lower-cased text, the BYTES.depth bytes before it (line ends before the first) and itself, lowest."""
-    depth = BYTES.depth
+def packed(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bounds): for each UTF-8 byte of each lower-cased text, the ``depth`` bytes before it (line ends before the first) and itself, lowest."""
     encoded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     gap = b"\n" * depth
     own = np.frombuffer(gap + gap.join(encoded), dtype=np.uint8)
@@ -228,33 +66,29 @@ def packed_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], bounds
 
 
-CLASSES = Coding(BITS, DEPTH, packed)
-#: Every text as it is, in any script; the case alone is folded.
-BYTES = Coding(8, 5, packed_bytes)
-
 #: The grams of one length: (codes, ascending; their next symbol's share in its context; cost in bits by the longest state).
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def priced(codes: np.ndarray, n: np.ndarray, coding: Coding, low: int, high: int, up: Level | None, min_count: int, min_bits: float, floor: float) -> Level:
+def priced(codes: np.ndarray, n: np.ndarray, low: int, high: int, up: Level | None, min_count: int, min_bits: float, floor: float) -> Level:
     """The grams of contexts of ``high`` symbols, given their counts and, unless ``low`` is 0, the level of ``low`` - 1.
 
     ``codes`` are distinct and ascending, and with a context all others of the same latest ``low`` symbols are there.
     """
     chain, to_shorter = [(codes, n)], []
     for k in range(high - 1, low - 1, -1):
-        shorter, at = np.unique(chain[-1][0] & coding.mask(k + 1), return_inverse=True)
+        shorter, at = np.unique(chain[-1][0] & mask(k + 1), return_inverse=True)
         to_shorter.append(at)
         chain.append((shorter, np.bincount(at, weights=chain[-1][1], minlength=len(shorter))))
     for k in range(low, high + 1):
         own, count = chain.pop()
-        first = np.flatnonzero(np.diff(own >> coding.bits, prepend=-1))
+        first = np.flatnonzero(np.diff(own >> 8, prepend=-1))
         whole = np.add.reduceat(count, first)
         sizes = np.diff(np.append(first, len(own)))
         share = count / np.repeat(whole, sizes)
-        cost = -np.log2((1 - (1 << coding.bits) * floor) * share + floor)
+        cost = -np.log2((1 - 256 * floor) * share + floor)
         if up is not None:
-            at = to_shorter.pop() if k > low else np.searchsorted(up[0], own & coding.mask(k))
+            at = to_shorter.pop() if k > low else np.searchsorted(up[0], own & mask(k))
             gain = np.add.reduceat(share * np.log2(share / up[1][at]), first)
             state = (whole >= min_count) & (gain >= min_bits)
             cost = np.where(np.repeat(state, sizes), cost, up[2][at])
@@ -262,12 +96,17 @@ def priced(codes: np.ndarray, n: np.ndarray, coding: Coding, low: int, high: int
     return up
 
 
-def score_all(docs: DataFrame, coding: Coding = BYTES, min_count: int = MIN_COUNT, min_bits: float = MIN_BITS, floor: float = FLOOR, slice_chars: int = SLICE, part_rows: int = PART) -> DataFrame:
-    """(doc_id, symbols, bits, bits_per_symbol) of every row, by the tree of all rows; as in ``score``.  ``symbols`` are the lower-cased text's characters in either coding.
+def score_all(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min_bits: float = MIN_BITS, floor: float = FLOOR, slice_chars: int = SLICE, part_rows: int = PART) -> DataFrame:
+    """(doc_id, bits_per_symbol, bits, symbols) of every row, by the tree of all rows.  ``symbols`` are the lower-cased text's characters.
 
     Texts are put into slices.  A slice's distinct grams are counted, go to the part of the tree that their contexts' latest symbols name, and come back with their costs.  Only
     contexts of fewer than KEY symbols are on the driver.
+
+    Null and empty texts have 0 symbols and null bits_per_symbol.  Texts are read whole, however long.  Repeated rows count as often as they are there and give repeated rows; a null doc_id stays null;
+    further columns are ignored; an empty table gives no rows.
     """
+    if not KEY < depth <= MAX_DEPTH:
+        raise ValueError(f"contexts have {KEY + 1} to {MAX_DEPTH} bytes")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     slices = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars + 1
@@ -279,7 +118,7 @@ def score_all(docs: DataFrame, coding: Coding = BYTES, min_count: int = MIN_COUN
         for batch in K.pieces(texts.to_batches()):
             own = K.strings(batch.column("text"))
             for lo, hi in K.spans(own, 4 * K.CHUNK):
-                codes, _ = coding.packed(own[lo:hi])
+                codes, _ = packed(own[lo:hi], depth)
                 if len(codes):
                     held.append(np.unique(codes, return_counts=True))
                     waiting += len(held[-1][0])
@@ -291,9 +130,9 @@ def score_all(docs: DataFrame, coding: Coding = BYTES, min_count: int = MIN_COUN
         return pa.table({"slice": pa.array(np.full(len(values), number, dtype=np.int32)), "code": pa.array(values.astype(np.int64)), "n": pa.array(n)})
 
     grams = written(sliced.select("slice", "text").groupBy("slice").applyInArrow(tallied, "slice int, code bigint, n bigint"), "grams")
-    short = grams.groupBy(F.col("code").bitwiseAND(F.lit(coding.mask(KEY))).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).toPandas().sort_values("code")
+    short = grams.groupBy(F.col("code").bitwiseAND(F.lit(mask(KEY))).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).toPandas().sort_values("code")
     if len(short):
-        shortest = priced(short["code"].to_numpy(), short["n"].to_numpy(), coding, 0, KEY - 1, None, min_count, min_bits, floor)
+        shortest = priced(short["code"].to_numpy(), short["n"].to_numpy(), 0, KEY - 1, None, min_count, min_bits, floor)
     else:
         shortest = None
     sent = spark.sparkContext.broadcast(shortest)
@@ -305,12 +144,12 @@ def score_all(docs: DataFrame, coding: Coding = BYTES, min_count: int = MIN_COUN
         number, codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         distinct, at = np.unique(codes, return_inverse=True)
-        cost = priced(distinct, np.bincount(at, weights=n), coding, KEY, coding.depth, sent.value, min_count, min_bits, floor)[2].astype(np.float32)
+        cost = priced(distinct, np.bincount(at, weights=n), KEY, depth, sent.value, min_count, min_bits, floor)[2].astype(np.float32)
         for lo in range(0, len(codes), 200_000):
             own = slice(lo, lo + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array(codes[own]), pa.array(cost[at[own]])], names=["slice", "code", "cost"])
 
-    latest = F.shiftright("code", coding.bits).bitwiseAND(F.lit(coding.mask(KEY)))
+    latest = F.shiftright("code", 8).bitwiseAND(F.lit(mask(KEY)))
     parts = int(short["rows"].sum()) // part_rows + 1
     costs = grams.repartition(parts, latest).mapInArrow(part, "slice int, code bigint, cost float")
 
@@ -323,11 +162,11 @@ def score_all(docs: DataFrame, coding: Coding = BYTES, min_count: int = MIN_COUN
             own = K.strings(batch.column("text"))
             total, sizes = np.zeros(len(own)), np.fromiter((len(t.lower()) for t in own), dtype=np.int64, count=len(own))
             for lo, hi in K.spans(own, 2 * K.CHUNK):
-                found, bounds = coding.packed(own[lo:hi])
+                found, bounds = packed(own[lo:hi], depth)
                 values, at = np.unique(found, return_inverse=True)
                 total[lo:hi] = K.segments(np.add, cost[np.searchsorted(codes, values)][at] if len(values) else np.empty(0), bounds, 0.0)
             each = np.divide(total, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
-            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.round(total, 4)), pa.array(np.round(each, 6), from_pandas=True)], names=["doc_id", "symbols", "bits", "bits_per_symbol"]))
-        return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "symbols": pa.array([], pa.int64()), "bits": pa.array([], pa.float64()), "bits_per_symbol": pa.array([], pa.float64())})
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(each, 6), from_pandas=True), pa.array(np.round(total, 4)), pa.array(sizes)], names=["doc_id", "bits_per_symbol", "bits", "symbols"]))
+        return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "bits_per_symbol": pa.array([], pa.float64()), "bits": pa.array([], pa.float64()), "symbols": pa.array([], pa.int64())})
 
     return sliced.groupBy("slice").cogroup(costs.groupBy("slice")).applyInArrow(scored, OUT)

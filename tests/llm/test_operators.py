@@ -374,6 +374,22 @@ def test_merges_against_brute_force():
         assert bpe.merge(piece, ranks) == ([ranks[piece]] if piece in ranks else naive_merge(piece, ranks))
 
 
+def test_a_vocabulary_without_all_bytes_is_refused():
+    with open(bpe.VOCABULARY, "rb") as f:
+        lines = f.read().splitlines()
+    with pytest.raises(ValueError, match="lacks the bytes"):
+        bpe.Codec(b"\n".join(lines[:100] + lines[101:]))
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    with open(bpe.VOCABULARY, "rb") as f:
+        own = bpe.Codec(f.read())
+    monkeypatch.setattr(bpe, "REMEMBERED", 3000)
+    for k in range(50):
+        text = f"{prose(k, 20)} {'long' * 500}"
+        assert own.decode(own.encode(text)) == text and own.held <= 3000 + 20_000
+
+
 def test_round_trip(spark):
     texts = ["Some text, twice.", "Some text, twice.", None, "", "ünï " * 50]
     encoded = bpe.encode(table(spark, texts))
@@ -384,42 +400,6 @@ def test_round_trip(spark):
 # 4
 
 
-def test_suffix_tree_against_brute_force(spark):
-    texts = [prose(k, 200) for k in range(6)] + ["", None, "Ünïcode: 12 ☕\tx\n"]
-    docs = table(spark, texts)
-    options = {"min_share": 1e-3, "min_bits": 0.1, "min_gain": 1e-5, "floor": 1e-3}
-    tree = suffix_tree.build(docs, **options)
-    symbols = [[int(suffix_tree.classes()[ord(c)]) for c in (t or "").lower()] for t in texts]
-    counts, total = Counter(), 0
-    for s in symbols:
-        padded = [0] * 4 + s
-        for i in range(len(s)):
-            total += 1
-            for k in range(5):
-                counts[tuple(padded[i + 4 - k : i + 4]), padded[i + 4]] += 1
-    contexts = {}
-    for (context, s), n in counts.items():
-        contexts.setdefault(context, {})[s] = n
-    states = {()}
-    for context, following in contexts.items():
-        n, up = sum(following.values()), contexts[context[1:]] if context else None
-        if context and n >= options["min_share"] * total:
-            gain = sum(c / n * math.log2(c / n * sum(up.values()) / up[s]) for s, c in following.items())
-            if gain >= options["min_bits"] and gain * n / total >= options["min_gain"]:
-                states.add(context)
-    unpack = lambda k, c: tuple((c >> 6 * i) & 63 for i in reversed(range(k)))
-    assert {unpack(k, c) for k, c in tree.states} == states and len(states) > 50
-    got = {r["doc_id"]: r for r in suffix_tree.score(docs, tree).collect()}
-    for i, s in enumerate(symbols):
-        padded, expected = [0] * 4 + s, 0.0
-        for j in range(len(s)):
-            own = next(c for k in range(4, -1, -1) if (c := tuple(padded[j + 4 - k : j + 4])) in states)
-            following = contexts[own]
-            expected -= math.log2((1 - 64 * 1e-3) * following.get(s[j], 0) / sum(following.values()) + 1e-3)
-        assert got[i]["symbols"] == len(s) and got[i]["bits"] == pytest.approx(expected, rel=1e-5, abs=1e-3)
-        assert (got[i]["bits_per_symbol"] is None) == (not s)
-
-
 def test_states_grow_with_the_corpus(spark, tmp_path):
     rare = "qu wyx zqj " * 3
     for k, size in enumerate((2, 60)):
@@ -440,31 +420,30 @@ def test_other_scripts_are_told_apart(spark, tmp_path):
     assert got[40] > 2 * max(got[i] for i in range(40))
 
 
-@pytest.mark.parametrize("coding", [suffix_tree.CLASSES, suffix_tree.BYTES])
+@pytest.mark.parametrize("depth", [3, 5, 7])
 @pytest.mark.parametrize("slice_chars", [300, 10**6])
-def test_whole_tree_against_brute_force(spark, slice_chars, coding):
+def test_whole_tree_against_brute_force(spark, slice_chars, depth):
     texts = [prose(k, 60) for k in range(6)] + ["", None, "Ünïcode: 12 ☕\tx\n", prose(0, 60)]
-    start = 0 if coding is suffix_tree.CLASSES else 10
-    symbols = [[int(suffix_tree.classes()[ord(c)]) for c in (t or "").lower()] if not start else list((t or "").lower().encode()) for t in texts]
+    symbols = [list((t or "").lower().encode()) for t in texts]
     contexts = {}
     for s in symbols:
-        padded = [start] * coding.depth + s
+        padded = [10] * depth + s
         for i in range(len(s)):
-            for k in range(coding.depth + 1):
-                contexts.setdefault(tuple(padded[i + coding.depth - k : i + coding.depth]), Counter())[s[i]] += 1
+            for k in range(depth + 1):
+                contexts.setdefault(tuple(padded[i + depth - k : i + depth]), Counter())[s[i]] += 1
     states = {()}
     for context, following in contexts.items():
         if context and (n := sum(following.values())) >= 3:
             up = contexts[context[1:]]
             if sum(c / n * math.log2(c / n * sum(up.values()) / up[s]) for s, c in following.items()) >= 0.1:
                 states.add(context)
-    got = {r["doc_id"]: r for r in suffix_tree.score_all(table(spark, texts), coding, min_count=3, min_bits=0.1, floor=1e-3, slice_chars=slice_chars, part_rows=500).collect()}
+    got = {r["doc_id"]: r for r in suffix_tree.score_all(table(spark, texts), depth, min_count=3, min_bits=0.1, floor=1e-3, slice_chars=slice_chars, part_rows=500).collect()}
     assert len(got) == len(texts) and len(states) > 50
     for i, s in enumerate(symbols):
-        padded, expected = [start] * coding.depth + s, 0.0
+        padded, expected = [10] * depth + s, 0.0
         for j in range(len(s)):
-            own = next(c for k in range(coding.depth, -1, -1) if (c := tuple(padded[j + coding.depth - k : j + coding.depth])) in states)
-            expected -= math.log2((1 - 2**coding.bits * 1e-3) * contexts[own][s[j]] / sum(contexts[own].values()) + 1e-3)
+            own = next(c for k in range(depth, -1, -1) if (c := tuple(padded[j + depth - k : j + depth])) in states)
+            expected -= math.log2((1 - 256 * 1e-3) * contexts[own][s[j]] / sum(contexts[own].values()) + 1e-3)
         assert got[i]["bits"] == pytest.approx(expected, rel=1e-5, abs=1e-3) and got[i]["symbols"] == len((texts[i] or "").lower())
         assert (got[i]["bits_per_symbol"] is None) == (not s)
 
@@ -636,6 +615,19 @@ def test_distances(spark):
     assert rows[0]["words_distance"] == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2), abs=2e-6)
 
 
+def test_a_language_without_a_reference(spark):
+    docs = table(spark, [prose(k, 100) for k in range(5)], {4: "new"})
+    rows = {r["doc_id"]: r for r in quality.judge(docs, quality.learn(docs.where("doc_id < 4"))).collect()}
+    assert rows[4]["verdict"] == "unknown" and rows[4]["keep"] and rows[4]["chars_distance"] is None and rows[4]["words"] == 100
+
+
+def test_labelled_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, quality.learn(docs)).where("verdict <> 'short'").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    bad, good = [r["keep"] for r in rows if r["quality"] == 0], [r["keep"] for r in rows if r["quality"] == 1]
+    assert len(bad) > 30 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.97 * len(good)
+
+
 # 6
 
 
@@ -710,7 +702,7 @@ def operators(spark, pages=None):
         "toxicity": (lambda d: toxicity.judge(d, toxicity.learn(d, labels)), same),
         "toxicity.clean": (lambda d: toxicity.clean(d, toxicity.learn(d, labels)), lambda k: k - min(k, 1)),
         "bpe": (bpe.encode, same),
-        "suffix_tree": (lambda d: suffix_tree.score(d, suffix_tree.build(d)), same),
+        "suffix_tree": (suffix_tree.score_all, same),
         "leaks": (lambda d: tiling.leaks(d, benchmark), lambda k: 6 if k else 0),
         "leaks.clean": (lambda d: tiling.clean(d, benchmark), lambda k: k - 3 if k else 0),
         "url": (lambda d: url_filter.filter_urls(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"})), same),
