@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {"op1_quality_rules": quality.sql(), "op6_url_filters": url_filter.sql(), "token_digests": token_counts.digests_sql(), "op9_ngram_jaccard_join": ngram_join.sql()}
+ORACLE: dict[str, str] = {"op1_quality_rules": quality.sql(), "op6_url_filters": url_filter.sql(), "token_digests": token_counts.digests_sql(), "op9_ngram_jaccard_join": ngram_join.sql(), "op10_license_scans": licenses.sql()}
