@@ -4,16 +4,17 @@ A block list is a file of 64-bit xxhash keys in ascending order beside the full
 shared by all workers of a machine and read only where a probe goes), looks all candidate keys of a batch up by one vectorised binary search, and compares the
 stored string with the candidate, so that two strings with one digest aren't confused.
 
-An entry is a host ("example.com": the host and all hosts below it) or a host with a path ("example.com/a/b": that page and all below it).
+An entry is a host ("example.com": the host and all hosts below it) or a host with a path ("example.com/a/b": that page and all below it).  A URL's candidates have at most as many host labels and path parts as the list's
+longest entries, so however long a URL is, few strings are made of it.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from importlib.resources import files
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -24,12 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
-from inkwell.sources.shared import hadoop_fs, scratch
+from inkwell.sources.shared import hadoop_fs, scratch, until_exit
 
-#: Hosts of advertising, gambling, adult and spam sites that the registered query blocks, under each of these domains.
-NAMES = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
-DOMAINS = ("example.com", "example.net", "example.org")
-BLOCKED = tuple(f"{n}.{d}" for n in NAMES for d in DOMAINS)
+#: The registered query's block list: blocklist.txt beside this file.
+BLOCKED = tuple(x for x in files(__package__).joinpath("blocklist.txt").read_text().splitlines() if x and not x.startswith("#"))
 
 OUT = "page_id bigint, url string, host string, blocked boolean, entry string"
 
@@ -52,11 +51,11 @@ def normal(url: str) -> tuple[str, str]:
     return host, parts.path.rstrip("/") if host else ""
 
 
-def candidates(host: str, path: str) -> list[str]:
-    """Every entry that would block the page, the most general first: hosts from the top, then the host's own paths from the top."""
-    labels = host.split(".")
+def candidates(host: str, path: str, labels_at_most: int, parts_at_most: int) -> list[str]:
+    """Every entry of at most so many labels and path parts that would block the page, the most general first: hosts from the top, then the host's own paths from the top."""
+    labels = host.rsplit(".", labels_at_most)[-labels_at_most:] if labels_at_most else []
     out = [".".join(labels[k:]) for k in range(len(labels) - 1, -1, -1)] if host else []
-    parts = path.split("/")[1:]
+    parts = path.split("/", parts_at_most + 1)[1 : parts_at_most + 1]
     hosts = out[:]
     for k in range(1, len(parts) + 1):
         tail = "/" + "/".join(parts[:k])
@@ -64,16 +63,26 @@ def candidates(host: str, path: str) -> list[str]:
     return out
 
 
-def write(ordered: Iterable[tuple[int, str]], folder: str, name: str) -> list[str]:
-    """Writes the three files of a block list: keys, where each string starts, the strings.  (key, entry) come in the order of unsigned keys, and are streamed."""
-    files = [os.path.join(folder, f"{name}.{x}") for x in ("keys", "starts", "text")]
-    with open(files[0], "wb") as keys, open(files[1], "wb") as starts, open(files[2], "wb") as text:
-        starts.write(struct.pack("<q", 0))
-        for key, entry in ordered:
-            keys.write(struct.pack("<Q", key & 0xFFFFFFFFFFFFFFFF))
-            text.write(entry.encode("utf-8", "surrogatepass"))
-            starts.write(struct.pack("<q", text.tell()))
-    return files
+PARTS = ("keys", "starts", "text")
+
+
+def write(ordered: Iterable[tuple[int, str]], append: Callable[[str, bytes], None], buffer: int = 1 << 20) -> None:
+    """Streams a block list to ``append`` as its three parts: keys, where each string starts, the strings.  (key, entry) come in the order of unsigned keys."""
+    held = {part: bytearray() for part in PARTS}
+    held["starts"] += struct.pack("<q", 0)
+    end = 0
+    for key, entry in ordered:
+        text = entry.encode("utf-8", "surrogatepass")
+        end += len(text)
+        held["keys"] += struct.pack("<Q", key & 0xFFFFFFFFFFFFFFFF)
+        held["text"] += text
+        held["starts"] += struct.pack("<q", end)
+        if len(held["text"]) + len(held["keys"]) > buffer:
+            for part, own in held.items():
+                append(part, bytes(own))
+                own.clear()
+    for part, own in held.items():
+        append(part, bytes(own))
 
 
 class Digests:
@@ -102,26 +111,28 @@ class Digests:
         return out
 
 
-def publish(spark: SparkSession, entries: Iterable[str] | DataFrame) -> list[str]:
-    """Puts the files into the shared folder, and has every executor, later ones too, fetch its copy; their names.
+def publish(spark: SparkSession, entries: Iterable[str] | DataFrame) -> tuple[list[str], int, int]:
+    """Puts the files into the shared folder, and has every executor, later ones too, fetch its copy; (their names, most host labels of an entry, most path parts).
 
-    ``entries``: strings, or a DataFrame with a column ``entry``.  Spark digests and sorts them; the driver takes them a partition at a time, writes the files once, in a folder of its own, and moves them by way of Spark's file system, whatever the folder's scheme.
+    ``entries``: strings, or a DataFrame with a column ``entry``.  Spark digests and sorts them; the driver takes them a partition at a time and streams them to the files by way of Spark's file system, whatever the folder's scheme.
     """
     where = scratch(spark, "urls")
     name = where.rsplit("/", 1)[1]
     fs, _ = hadoop_fs(spark, where)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs.mkdirs(path(where))
-    names = []
     listed = entries if isinstance(entries, DataFrame) else spark.createDataFrame([(e,) for e in entries], "entry string")
     keyed = listed.select("entry").where("entry <> ''").distinct().withColumn("key", F.xxhash64("entry")).orderBy(F.col("key") < 0, "key", "entry")
-    ordered = ((r["key"], r["entry"]) for r in keyed.toLocalIterator())
-    with tempfile.TemporaryDirectory() as own:
-        for file in write(ordered, own, name):
-            fs.copyFromLocalFile(path("file://" + file), path(where))
-            names.append(os.path.basename(file))
-            spark.sparkContext.addFile(f"{where}/{names[-1]}")
-    return names
+    host = F.substring_index("entry", "/", 1)
+    most = listed.where("entry <> ''").agg(F.max(F.size(F.split(host, r"\."))), F.max(F.size(F.split("entry", "/")) - 1)).first()
+    names = [f"{name}.{part}" for part in PARTS]
+    streams = {part: fs.create(path(f"{where}/{n}"), True) for part, n in zip(PARTS, names, strict=True)}
+    write(((r["key"], r["entry"]) for r in keyed.toLocalIterator()), lambda part, own: streams[part].write(bytearray(own)))
+    for part, n in zip(PARTS, names, strict=True):
+        streams[part].close()
+        spark.sparkContext.addFile(f"{where}/{n}")
+    until_exit(spark, where)
+    return names, most[0] or 0, most[1] or 0
 
 
 @lru_cache(maxsize=8)
@@ -129,10 +140,10 @@ def mapped(*files: str) -> Digests:
     return Digests(*(SparkFiles.get(f) for f in files))
 
 
-def match(urls: list[str | None], own: Digests) -> tuple[list[str], list[str | None]]:
+def match(urls: list[str | None], own: Digests, labels: int, parts: int) -> tuple[list[str], list[str | None]]:
     """(host, most general entry that blocks it or None) of each URL."""
     parsed = [normal(u or "") for u in urls]
-    lists = [candidates(*p) for p in parsed]
+    lists = [candidates(*p, labels, parts) for p in parsed]
     flat = [c for own_list in lists for c in own_list]
     owner = np.repeat(np.arange(len(urls)), [len(x) for x in lists]) if lists else np.empty(0, dtype=np.int64)
     hits = np.flatnonzero(own.holds(flat))
@@ -145,25 +156,26 @@ def match(urls: list[str | None], own: Digests) -> tuple[list[str], list[str | N
 def filter_urls(pages: DataFrame, entries: Iterable[str] | DataFrame = BLOCKED) -> DataFrame:
     """(page_id, url, host, blocked, entry) of every page; ``entry`` is the most general entry that blocks it, null if none.
 
-    A null, empty or malformed URL has an empty host and isn't blocked.  With no entries nothing is blocked.  Repeated rows stay repeated; further columns are ignored.
+    A null, empty or malformed URL has an empty host and isn't blocked; one of any length is probed whole, as far as entries go.  With no entries nothing is blocked.  Entries that are null, empty or repeated make no difference.
+    Repeated rows stay repeated, a null page_id stays null, further columns are ignored, an empty table gives no rows.
     """
-    files = publish(pages.sparkSession, entries)
+    names, labels, parts = publish(pages.sparkSession, entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = mapped(*files)
-        for batch in batches:
-            hosts, entry = match(batch.column("url").to_pylist(), own)
+        own = mapped(*names)
+        for batch in K.pieces(batches):
+            hosts, entry = match(batch.column("url").to_pylist(), own, labels, parts)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(hosts, type=pa.string()), pa.array([e is not None for e in entry], type=pa.bool_()), pa.array(entry, type=pa.string())], names=["page_id", "url", "host", "blocked", "entry"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, OUT)
 
 
 def sql() -> str:
-    """The registered query in DuckDB's SQL: its entries are hosts."""
+    """The registered query in DuckDB's SQL."""
     rows = ", ".join(f"('{e}')" for e in BLOCKED)
     return f"""
-WITH b(entry) AS (VALUES {rows}),
-p AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)), '') AS host FROM pages),
-m AS (SELECT r, arg_min(entry, length(entry)) AS entry FROM p JOIN b ON host = entry OR ends_with(host, '.' || entry) GROUP BY r)
+WITH b AS (SELECT entry, split_part(entry, '/', 1) AS h, substr(entry, length(split_part(entry, '/', 1)) + 1) AS rest FROM (VALUES {rows}) v(entry)),
+p AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT r, arg_min(entry, (len(string_split(rest, '/')), length(h))) AS entry FROM p JOIN b ON (host = h OR ends_with(host, '.' || h)) AND (rest = '' OR path = rest OR starts_with(path, rest || '/')) GROUP BY r)
 SELECT page_id, url, host, entry IS NOT NULL AS blocked, entry FROM p LEFT JOIN m USING (r)
 """

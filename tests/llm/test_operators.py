@@ -643,8 +643,20 @@ def test_urls(spark, tmp_path):
     assert [r["entry"] for r in url_filter.filter_urls(pages, listed).orderBy("page_id").collect()][:3] == ["bad.example", "bad.example", None]
 
 
+def test_candidates_stay_few():
+    host, path = ".".join(f"l{k}" for k in range(60)), "".join(f"/p{k}" for k in range(1000))
+    few = url_filter.candidates(host, path, 3, 2)
+    assert few == ["l59", "l58.l59", "l57.l58.l59", *(h + t for t in ("/p0", "/p0/p1") for h in ("l59", "l58.l59", "l57.l58.l59"))]
+    assert url_filter.candidates(host, path, 60, 1000)[-1] == host + path and url_filter.candidates("", "", 3, 2) == []
+
+
 def test_equal_digests_are_told_apart(tmp_path):
-    own = url_filter.Digests(*url_filter.write(sorted((int(url_filter.digests([e])[0]), e) for e in "abc"), str(tmp_path), "x"))
+    def append(part, own):
+        with open(tmp_path / part, "ab") as f:
+            f.write(own)
+
+    url_filter.write(sorted((int(url_filter.digests([e])[0]), e) for e in "abc"), append, buffer=5)
+    own = url_filter.Digests(*(str(tmp_path / part) for part in url_filter.PARTS))
     assert own.holds(["a", "b", "d"]).tolist() == [True, True, False]
     assert own.holds(["d", "a"], url_filter.digests(["a", "a"])).tolist() == [False, True]  # a digest alone is no hit
     same = url_filter.Digests.__new__(url_filter.Digests)
