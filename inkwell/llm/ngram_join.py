@@ -6,11 +6,14 @@ DivideSkip answers that: the longest lists are set aside, the short ones are mer
 in the long ones by binary search.
 
 How it is spread out: an inverted index over all documents is not built in one place.  Documents whose sets are equal are collapsed first
-(a digest of the whole set), then each distinct set is routed to blocks by bands of minimum hashes.  Of blocks with the same members one stays, and a block goes if all its members
-share a larger one.  Each block runs the search over its own inverted index, every set being a query; a block of more than PART grams is dealt out to parts, and each two parts are a task of their own, so that no task
-grows with a block and no pair is lost.  With 20 bands of 2 hashes a pair at
-the threshold of 0.5 meets in some block with probability 1 - 0.75**20 = 0.997, a pair at 0.6 with 0.9999; only pairs that meet are searched for, and what a block reports is
-exact.  Gram arrays travel only for sets that share a block; all else is a few numbers a document.
+(a digest of the whole set), then each distinct set is routed to blocks by its prefix: with grams in one order for all sets, rare ones first, two sets that meet the threshold t
+share a gram among the first |set| - ceil(t * |set|) + 1 of each, so no such pair is left out.  Grams that no other set has are dropped from prefixes; most sets then have none left and no partner.  How often a gram occurs
+is counted in buckets of gram hashes, to which a set sends 32 bits a gram; where two grams agree in those, a block is larger than need be, and nothing is lost.
+
+A block is a prefix gram and the sets that have it, cut where sizes are too far apart for a pair.  Of blocks with the same members one stays.  Each
+block then goes, with all its members, into the largest one that any of them has: what was together stays so, and a set is there in few blocks.
+Each block runs the search over its own inverted index, every set being a query; a block of more than PART grams is dealt out to parts, and each two parts are a task of their own, so that no task
+grows with a block and no pair is lost.  Gram arrays travel only for sets that share a block.
 
 Pairs never leave a task: it reports how many documents each of its sets is linked to, a pair being counted where it meets first, and an edge from each set to the first one of its group.
 
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +37,6 @@ from inkwell.llm import kernel as K
 from inkwell.sources.shared import checkpointed, written
 
 N, THRESHOLD = 3, 0.5
-BANDS, ROWS = 20, 2
 #: DivideSkip's constant: how dear a probe of a long list is, against merging.
 MU = 1.0
 #: Set numbers that a turn of the merge looks at.
@@ -42,35 +45,114 @@ WINDOW = 256
 PROBES = 32
 #: Grams in a part of a block, about; a task takes two parts at most.
 PART = 1 << 20
+#: Grams in a bucket, about, when they are counted.
+SHARE = 1 << 21
 
 OUT = "doc_id bigint, class_id bigint, links bigint"
 
 
-def signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, hi, lo, size, bands) of every document: the digest of its gram set, the number of grams, keys of its bands; without a gram, a null digest and no bands."""
-    seeds = K.factors(bands * rows + 2)
+def digests(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each gram set."""
+    return [K.segments(np.add, K.mix(values ^ s), bounds, np.uint64(0)).view(np.int64) for s in K.factors(2)]
+
+
+def signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, hi, lo, size) of every document: the digest of its gram set and the number of grams; without a gram, a null digest."""
     for batch in K.pieces(batches):
         texts = K.strings(batch.column("text"))
         for lo, hi in K.spans(texts):
             t = K.Tokens(texts[lo:hi])
-            values, bounds, _ = K.grams(t.hash, t.bounds, n)
-            values, bounds = K.sets(values, bounds)
-            some = np.diff(bounds) > 0
-            low = [K.segments(np.minimum, values * s, bounds, np.uint64(0)) for s in seeds[: bands * rows]]
-            keys = np.empty((hi - lo, bands), dtype=np.uint64)
-            for b in range(bands):
-                key = np.full(hi - lo, b + 1, dtype=np.uint64)
-                for r in range(rows):
-                    key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) ^ low[b * rows + r])
-                keys[:, b] = key
-            digest = [pa.array(K.segments(np.add, K.mix(values ^ s), bounds, np.uint64(0)).view(np.int64), mask=~some) for s in seeds[-2:]]
+            values, bounds = K.sets(*K.grams(t.hash, t.bounds, n)[:2])
+            size = np.diff(bounds)
             own = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [own.column("doc_id"), own.column("text_hash"), *digest, pa.array(np.diff(bounds)), K.list_array(pa.array(keys[some].ravel().view(np.int64)), np.concatenate([[0], np.cumsum(some * bands)]))],
-                names=["doc_id", "text_hash", "hi", "lo", "size", "bands"],
+                [own.column("doc_id"), own.column("text_hash"), *(pa.array(d, mask=size == 0) for d in digests(values, bounds)), pa.array(size)],
+                names=["doc_id", "text_hash", "hi", "lo", "size"],
             )
 
 
+ASKED = "bucket int, span bigint, docs binary, low binary, head binary"
+COUNTED = "bucket int, span bigint, docs binary, low binary, times binary, head binary"
+PREFIXES = "hi bigint, lo bigint, size bigint, keys array<bigint>"
+
+
+def asked(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The grams of a few documents at a time (a span), by bucket: the document's place in the span (16 bits) and the gram's lower 32 bits.  One row of a span has the digests and sizes of its documents in ``head``.
+
+    A gram's bucket follows from its upper 32 bits.  A span's number depends on what is in it: rows of different runs of a task never pass for the same span.
+    """
+    task, count = TaskContext.get().partitionId(), 0
+    for batch in K.pieces(batches):
+        texts = K.strings(batch.column("text"))
+        for lo, hi in K.spans(texts):
+            t = K.Tokens(texts[lo:hi])
+            values, bounds = K.sets(*K.grams(t.hash, t.bounds, n)[:2])
+            if not len(values):
+                continue
+            size = np.diff(bounds)
+            head = np.stack([*digests(values, bounds), size])
+            place = np.arange(hi - lo, dtype=np.uint64)
+            span = K.mix(K.mix(head[0].view(np.uint64) + place).sum(keepdims=True) ^ np.uint64(task << 32 | count)).view(np.int64)
+            count += 1
+            bucket = (((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            docs, low = np.repeat(place.astype(np.uint16), size)[order], values.astype(np.uint32)[order]
+            at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            own = np.flatnonzero(np.diff(at))
+            cut = [[x[at[b] : at[b + 1]].tobytes() for b in own] for x in (docs, low)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.astype(np.int32)), pa.array(np.repeat(span, len(own))), *(pa.array(c, type=pa.binary()) for c in cut), pa.array([head.tobytes()] + [None] * (len(own) - 1), type=pa.binary())],
+                names=["bucket", "span", "docs", "low", "head"],
+            )
+
+
+def packed(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=dtype), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // np.dtype(dtype).itemsize
+
+
+def counted(bucket: pa.Table) -> pa.Table:
+    """What is left of one bucket's rows without grams that occur once, and how often the others do (65,535 at most)."""
+    low, lengths = packed(bucket.column("low"), np.uint32)
+    docs, _ = packed(bucket.column("docs"), np.uint16)
+    order = np.argsort(low)
+    own = low[order]
+    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    run = np.diff(np.append(head, len(own)))
+    times = np.empty(len(low), dtype=np.uint16)
+    times[order] = np.repeat(np.minimum(run, 0xFFFF).astype(np.uint16), run)
+    keep = times > 1
+    at = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])]
+    cut = [[x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for x in (docs[keep], low[keep], times[keep])]
+    out = pa.table([bucket.column("bucket"), bucket.column("span"), *(pa.array(c, type=pa.binary()) for c in cut), bucket.column("head")], names=["bucket", "span", "docs", "low", "times", "head"])
+    return out.filter(pa.array((np.diff(at) > 0) | np.asarray(bucket.column("head").is_valid())))
+
+
+def prefixes(span: pa.Table, threshold: float) -> pa.Table:
+    """(hi, lo, size, keys) of the documents of a span that can have a partner: the grams of their prefixes that occur twice or more."""
+    heads = [h for h in span.column("head").to_pylist() if h is not None]
+    if len(heads) != 1:
+        raise RuntimeError("documents came in another order when a task was run again")
+    hi, lo, size = np.frombuffer(heads[0], dtype=np.int64).reshape(3, -1)
+    low, lengths = packed(span.column("low"), np.uint32)
+    (docs, _), (times, _) = packed(span.column("docs"), np.uint16), packed(span.column("times"), np.uint16)
+    key = np.repeat(span.column("bucket").to_numpy().astype(np.int64), lengths) << 32 | low
+    need = np.maximum(1, np.ceil(threshold * size - 1e-9).astype(np.int64))
+    room = np.bincount(docs, minlength=len(size)) - need + 1  # grams that occur once come first in the order
+    some = room > 0
+    here = some[docs]
+    docs, key, times = docs[here], key[here], times[here]
+    order = np.lexsort((key, times, docs))
+    docs, key = docs[order], key[order]
+    place = np.arange(len(docs)) - np.searchsorted(docs, docs)
+    first = np.ones(len(docs), dtype=bool)
+    first[1:] = (docs[1:] != docs[:-1]) | (key[1:] != key[:-1])
+    pick = (place < room[docs]) & first
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(docs[pick], minlength=len(size))[some])])
+    return pa.table([pa.array(hi[some]), pa.array(lo[some]), pa.array(size[some]), K.list_array(pa.array(key[pick]), bounds)], names=["hi", "lo", "size", "keys"])
+
+
 def gram_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Adds each document's ascending distinct gram hashes."""
     for batch in K.pieces(batches):
@@ -211,26 +293,39 @@ def search(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[partnered]
 
 
-def related(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, rows: int = ROWS, part: int = PART) -> tuple[DataFrame, DataFrame]:
+def related(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, part: int = PART, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(signatures of all documents, what ``search`` reports of every task): ``docs`` has doc_id and text."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = written(own.mapInArrow(lambda it: signatures(it, n, bands, rows), "doc_id bigint, text_hash bigint, hi bigint, lo bigint, size bigint, bands array<bigint>"), "signatures")
-    named = signed.where("hi IS NOT NULL").groupBy("hi", "lo", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    distinct = named.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("doc_id").alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    keyed = distinct.select("hi", "lo", "rep", "weight", "size", F.explode("bands").alias("band"))
-    # a block is a band value that two sets have; of blocks with the same members one stays
+    signed = written(own.mapInArrow(lambda it: signatures(it, n), "doc_id bigint, text_hash bigint, hi bigint, lo bigint, size bigint"), "signatures")
+    named = signed.where("hi IS NOT NULL").groupBy("hi", "lo", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"))
+    distinct = written(named.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("doc_id").alias("weight"), F.first("size").alias("size")), "sets")
+    same = lambda x: F.col("o.doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col("o.text_hash") == F.col(f"{x}.text_hash"))
+    again = signed.alias("o").join(distinct.select("hi", "lo", "rep.doc_id", "rep.text_hash").alias("d"), ["hi", "lo"]).where(~same("d"))
+    again = K.small(written(again.select("o.doc_id", "o.text_hash").distinct(), "again"))
+    buckets = max(1, -(-(distinct.agg(F.sum("size")).first()[0] or 0) // share))
+    asks = own.alias("o").join(again.alias("r"), same("r"), "left_anti").select("text").mapInArrow(lambda it: asked(it, n, buckets), ASKED)
+    kept = asks.groupBy("bucket").applyInArrow(counted, COUNTED).groupBy("span").applyInArrow(lambda span: prefixes(span, threshold), PREFIXES)
+    keyed = written(kept, "prefixes").dropDuplicates(["hi", "lo"]).select("hi", "lo", "size", F.explode("keys").alias("band"))
+    # a block is a prefix gram that two sets have, or what is left of one that is cut where the next larger set is too large for a pair with any before it
+    by_size = Window.partitionBy("band").orderBy("size")
+    keyed = keyed.withColumn("cut", (F.lag("size").over(by_size) + 1e-6 < F.lit(threshold) * F.col("size")).cast("int"))
+    keyed = keyed.withColumn("cut", F.coalesce(F.sum("cut").over(by_size), F.lit(0)))
+    keyed = keyed.select("hi", "lo", "size", F.when(F.col("cut") > 0, F.xxhash64("band", "cut")).otherwise(F.col("band")).alias("band"))
+    # of blocks with the same members one stays
     blocks = (
-        keyed.groupBy("band").agg(F.count("*").alias("members"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("hi", "lo")).alias("both"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("total")).where("members > 1")
-        .groupBy("members", "grams", "both", "total").agg(F.min("band").alias("band"))
+        keyed.groupBy("band").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("hi", "lo")).alias("both"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("total")).where("members > 1")
+        .groupBy("members", "both", "total").agg(F.min("band").alias("band"))
     )
-    placed = keyed.join(blocks.select("band", "members", "grams"), "band")
-    # a block whose members all have the same larger one goes: they meet there
-    largest = checkpointed(placed.withColumn("top", F.max(F.struct("members", "band")).over(Window.partitionBy("hi", "lo"))["band"]))
-    spare = largest.groupBy("band").agg(F.min("top").alias("one"), F.max("top").alias("other"), F.first("grams").alias("grams")).where("one <> other OR one = band")
-    parts = F.ceil(F.col("grams") / F.lit(part)).cast("int").alias("parts")
-    routed = written(largest.drop("grams", "members", "top").join(spare.select("band", parts), "band").groupBy("hi", "lo", "rep", "weight").agg(F.collect_list(F.struct("band", "parts")).alias("blocks")), "routes")
+    placed = keyed.join(blocks.select("band", "members"), "band").select("hi", "lo", "size", "band", "members")
+    # a block goes into the largest one that any of its members has
+    top = placed.withColumn("top", F.max(F.struct("members", "band")).over(Window.partitionBy("hi", "lo")))
+    into = F.max("top").over(Window.partitionBy("band"))["band"]
+    joined = checkpointed(top.select("hi", "lo", "size", into.alias("into")).distinct().withColumnRenamed("into", "band"))
+    parts = joined.groupBy("band").agg(F.ceil(F.sum("size") / F.lit(part)).cast("int").alias("parts"))
+    routed = joined.select("hi", "lo", "band").join(parts, "band").groupBy("hi", "lo").agg(F.collect_list(F.struct("band", "parts")).alias("blocks"))
+    routed = written(routed.join(distinct.select("hi", "lo", "rep", "weight"), ["hi", "lo"]), "routes")
     reps = K.small(routed.select("hi", "lo", "rep.doc_id", "rep.text_hash")).alias("r")
-    one = own.alias("o").join(reps, F.col("o.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("o.text_hash") == F.col("r.text_hash")), "inner").select("hi", "lo", "text")
+    one = own.alias("o").join(reps, same("r"), "inner").select("hi", "lo", "text")
     grams = one.mapInArrow(lambda it: gram_sets(it, n), "hi bigint, lo bigint, grams array<bigint>").dropDuplicates(["hi", "lo"])
     sent = grams.join(routed.select("hi", "lo", "weight", "blocks"), ["hi", "lo"]).select("hi", "lo", "weight", "grams", F.col("blocks.band").alias("blocks"), F.explode("blocks").alias("k"))
     sent = sent.select("hi", "lo", "weight", "grams", "blocks", F.col("k.band").alias("block"), F.col("k.parts").alias("parts")).withColumn("part", F.pmod(F.xxhash64("hi", "lo", "block"), F.col("parts")).cast("int"))
@@ -245,7 +340,7 @@ def linked(found: DataFrame) -> DataFrame:
     return groups(found.select(F.struct("hi", "lo").alias("a"), F.struct(F.col("root_hi").alias("hi"), F.col("root_lo").alias("lo")).alias("b")))
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, rows: int = ROWS, part: int = PART) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, part: int = PART, share: int = SHARE) -> DataFrame:
     """(doc_id, class_id, links) of each document: the smallest doc_id of its group, and how many other documents have a word n-gram set of Jaccard similarity ``threshold`` or more to its own.
 
     Groups are what such pairs connect.  Documents with equal sets have similarity 1 and count each.  A document is a doc_id and a gram set: repeated rows are one, a doc_id with several
@@ -254,7 +349,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int =
     Null or empty texts and texts without letters or numbers have no grams: a group of their own, no links.  Texts of fewer than n tokens have one gram, of all
     of them; very long ones are compared whole.  Rows with a null doc_id have no row and count for no links, though they can connect others.  An empty table gives no rows; further columns are ignored.
     """
-    signed, found = related(docs, threshold, n, bands, rows, part)
+    signed, found = related(docs, threshold, n, part, share)
     found = written(found, "found")
     sets = signed.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
     counted = found.groupBy("hi", "lo").agg(F.sum("links").alias("links"))

@@ -151,6 +151,25 @@ def test_recall_at_the_threshold(spark):
     assert len(near_threshold) >= 390 and len([p for p in near_threshold if p[0] in got]) >= 0.99 * len(near_threshold)
 
 
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    # eight words each, the first six the same: 4 grams of 8, a similarity of exactly 0.5
+    words = lambda k, own: " ".join([f"w{k}x{i}" for i in range(6)] + [f"{own}{k}y", f"{own}{k}z"])
+    texts = [words(k, own) for k in range(2000) for own in "ab"]
+    rows = [tuple(r) for r in ngram_join.join(table(spark, texts)).collect()]
+    assert sorted(rows) == [(i, i - i % 2, 1) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.35, 0.8, 1.0])
+def test_join_at_other_thresholds(spark, threshold):
+    texts = copies() + [" ".join(prose(k, 400) for k in range(500, 505))]  # and one that is much longer
+    expected = brute_pairs(texts, threshold=threshold)
+    sets = {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.join(table(spark, texts), threshold, part=700, share=500).collect()}
+    grams = [frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if (w := words_of(t)) else None for t in texts]
+    links = [sum(1 for j, b in enumerate(grams) if a and b and i != j and len(a & b) >= threshold * len(a | b)) for i, a in enumerate(grams)]
+    assert expected and [sets[i][1] for i in range(len(texts))] == links
+    assert all(sets[a][0] == sets[b][0] for a, b, _ in expected)
+
+
 def test_no_task_is_larger_than_two_parts(spark):
     texts = [near(prose(1, 100), k, 0.02) for k in range(300)]
     docs, sizes = table(spark, texts), []
