@@ -150,6 +150,42 @@ def test_a_frequent_term_is_in_many_files(spark, tmp_path):
     assert files >= 4 and own.search("everywhere").count() == 4000
 
 
+def test_runs_of_any_size_have_all_entries(monkeypatch):
+    import pyarrow as pa
+
+    from inkwell.sources import inversion
+
+    rows = [("b", "t", ["y", "x", "y", None]), ("a", "u", ["z"]), ("é", "t", []), ("a", "t", ["x", "ÿ", "x", "😀", "�"]), ("c", "t", None)]
+    schema = pa.schema([("doc_id", pa.string()), ("field", pa.string()), ("words", pa.list_(pa.string()))])
+    want = sorted((f, w, i, [k for k, x in enumerate(ws) if x == w], len(ws)) for i, f, ws in rows for w in {*(ws or [])} - {None})
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in own], schema) for own in (rows[:3], [], rows[3:])]
+    for size in (1, 4, 9, 1 << 21):
+        for at_once in (1, 3, 1 << 16):
+            monkeypatch.setattr(inversion, "RUN", size)
+            monkeypatch.setattr(inversion, "ROWS", at_once)
+            out = [r for b in inversion.runs(iter(batches)) for r in b.to_pylist()]
+            entries = [(r["field"], r["term"], r["doc_id"], r["positions"], r["field_len"]) for r in out if r["term"] is not None]
+            assert sorted(entries) == want and all(r["tf"] == len(r["positions"]) for r in out if r["term"] is not None)
+            assert sorted((r["doc_id"], r["field"], r["field_len"]) for r in out if r["term"] is None) == sorted((i, f, len(ws or [])) for i, f, ws in rows)
+    assert [e[:3] for e in entries] == sorted((e[:3] for e in entries), key=lambda e: [x.encode() for x in e])  # one run, in the order of bytes
+
+
+def test_entries_are_written_without_a_shuffle(spark, tmp_path):
+    """Of the texts and entries nothing is shuffled or written twice; few files are dealt out to all cores."""
+    own = Engine(spark, f"file://{tmp_path}/passes")
+    docs = spark.range(6000).coalesce(1).selectExpr("cast(id as string) doc_id", "'{}' stored", "map('t', array_join(transform(sequence(1, 20), k -> sha2(cast(id * 20 + k as string), 512)), ' ')) fields")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("passes", "")
+    try:
+        own.index_all(docs)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("passes") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 14  # were 25
+    assert own.snapshot().entries.select(F.input_file_name()).distinct().count() > 1
+    assert own.snapshot().lengths.count() == 6000
+
+
 def test_two_writers(spark, tmp_path):
     one, other = (Engine(spark, f"file://{tmp_path}/writers") for _ in "ab")
     one.index("a", {"t": "first"})
